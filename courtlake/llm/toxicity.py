@@ -3,9 +3,9 @@
 Texts are folded first: compatibility forms and accents, look-alike letters of
 other scripts, digits and signs that stand for letters inside words; i and l
 become one letter, since 1 stands for both.  The lexicon's terms are word
-beginnings, learnt from labelled documents: a term is taken when its excess in
-toxic documents is beyond chance among all candidates, the shortest beginning
-that is as pure as its extensions standing for them.  Words that hold a term
+beginnings, learnt from labelled documents by sequential covering: the one whose
+excess in the toxic documents not yet explained is largest is taken, while that
+excess is beyond chance among all candidates.  Words that hold a term
 but are mostly seen in clean documents, alone or with a neighbour, are learnt
 as exception phrases.  One Aho-Corasick automaton matches terms and exceptions;
 an exception cancels the terms inside it.  The weights found, against the
@@ -71,22 +71,47 @@ def _beginnings(words: set[str]) -> set[str]:
     return {w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)}
 
 
-def choose_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int, share: float) -> dict[str, float]:
-    """Lexicon {beginning: weight} from (beginning, toxic documents, clean documents).
+def excess(toxic: float, clean: float, share: float) -> float:
+    """Log-likelihood gained over chance by a term in so many toxic and clean documents; 0 if it is no likelier in toxic ones.
 
     ``share`` is the toxic documents' part of all words: what chance would give.
     """
-    bound = math.log(max(2, len(counts))) + 3
-    found: dict[str, float] = {}
-    for term, t, n in sorted(counts, key=lambda x: (len(x[0]), x[0])):
-        p = t / (t + n)
-        if p <= share or t < 3:
-            continue
-        excess = t * math.log(p / share) + (n * math.log((1 - p) / (1 - share)) if n else 0)
-        if excess < bound or p < 0.8 or any(term[:k] in found for k in range(SHORTEST, len(term))):
-            continue
-        found[term] = math.log((t + 0.5) / (toxic + 1)) - math.log((n + 0.5) / (clean + 1))
-    return dict(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:MOST_TERMS])
+    p = toxic / (toxic + clean) if toxic else 0.0
+    if p <= share:
+        return 0.0
+    return toxic * math.log(p / share) + (clean * math.log((1 - p) / (1 - share)) if clean else 0.0)
+
+
+def cover(candidates: list[tuple[str, int, int]], held: list[np.ndarray], toxic: int, clean: int, share: float, bound: float) -> dict[str, float]:
+    """Sequential covering: the term that explains most of the toxic documents not yet explained, again and again.
+
+    ``held`` has the numbers of the candidates in each toxic document.  What
+    copies of one toxic document have in common is explained by its true terms,
+    so it does not enter the lexicon by its copies' number.
+    """
+    n = len(candidates)
+    of_doc = [[] for _ in range(n)]
+    for d, terms in enumerate(held):
+        for t in terms.tolist():
+            of_doc[t].append(d)
+    left = np.array([len(x) for x in of_doc], np.int64)
+    open_docs, found = np.ones(len(held), bool), {}
+    clean_of = np.array([x[2] for x in candidates], np.float64)
+    length = np.array([len(x[0]) for x in candidates])
+    while n:
+        p = left / np.maximum(left + clean_of, 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.where(p > share, left * np.log(p / share) + np.where(clean_of > 0, clean_of * np.log(np.maximum(1 - p, 1e-12) / (1 - share)), 0), 0)
+        best = int(np.lexsort((-length, -gain))[0])
+        if gain[best] < bound or len(found) >= MOST_TERMS:
+            break
+        term, t, c_ = candidates[best]
+        found[term] = math.log((t + 0.5) / (toxic + 1)) - math.log((c_ + 0.5) / (clean + 1))
+        for d in of_doc[best]:
+            if open_docs[d]:
+                open_docs[d] = False
+                left[held[d]] -= 1
+    return found
 
 
 def automaton(terms: dict[str, float], exceptions: list[str]) -> ahocorasick.Automaton | None:
@@ -159,13 +184,23 @@ def learn_lexicon(docs: DataFrame, rows: DataFrame, per_class: int = PER_CLASS)
         return {}, [], np.array([-2.0, 0.0, 0.0])
     share = min(0.5, max(words[0] / sum(words), 1e-4))
     # Only what may pass: beginnings that toxic documents hold at least 4 times as often as clean ones do.
-    counts = [tuple(r) for r in summed.filter("toxic >= 3 and term <> '' and toxic >= 4 * clean").collect()]
-    terms = choose_terms(counts, toxic, clean, share)
+    counts = [tuple(r) for r in summed.filter("toxic >= 3 and term <> '' and toxic >= 4 * clean").orderBy(F.desc("toxic"), "term").limit(20 * MOST_TERMS).collect()]
+    bound = math.log(max(2, summed.count())) + 1
+    counts = [x for x in counts if excess(x[1], x[2], share) >= bound]
+    numbers = {x[0]: i for i, x in enumerate(counts)}
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [sorted(numbers[x] for x in _beginnings(set(fold(t or "").split())) if x in numbers) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], names=["held"])
+
+    held = [np.array(x.as_py(), np.int64) for x in texts.filter("label = 1").select("text").mapInArrow(hold, "held array<int>").toArrow().column("held")]
+    terms = cover(counts, held, toxic, clean, share, bound)
     exceptions = _learn_exceptions(texts, terms)
-    bound = (terms, exceptions)
+    lexicon = (terms, exceptions)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(*bound)
+        a = automaton(*lexicon)
         for b in batches:
             folded = [fold(t or "") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
