@@ -1,4 +1,61 @@
-"""Queries by name, with their SQL for the oracle."""
+"""Queries by name, with the same plan in the oracle's SQL.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+A plan is one declarative statement; Catalyst prunes columns, picks the joins
+and shares the sort of a window over all lags.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from courtlake.functions.dialect import ORACLE, SPARK, Dialect
+from courtlake.plans.features import FEATURES
+from courtlake.plans.tables import TABLES
+
+SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+#: Plans with a date in their result.  Dates leave the catalogue as ISO text, so that engines print them alike.
+DAY_PLANS = frozenset("season_spine east_west_record east_record_at_east west_record_at_west".split())
+GAME_DATE_PLANS = frozenset(
+    """
+games_view team_games dedupe_keep_latest dedupe_incremental next_slate analysis_frame
+schedule_parse record_rolling home_record_rolling away_record_rolling pts_diff_rolling home_pts_diff_rolling
+away_pts_diff_rolling season_avg_total_points norm_pts_diff_rolling home_norm_pts_diff_rolling away_norm_pts_diff_rolling streak
+cum_win_pct attendance_rolling rested_days days_home_road travel_distance strength_of_schedule
+sos_adjusted_record game_difficulty gds_home gds_away standings playoff_flags
+wide_features
+""".split()
+)
+
+
+def register(spark: SparkSession, sf_dir: str, statement: str) -> None:
+    """Temp views of the source tables that a statement names."""
+    for name in SOURCES:
+        if name in statement:
+            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+
+
+def _iso(name: str, statement: str) -> str:
+    column = "day" if name in DAY_PLANS else "game_date" if name in GAME_DATE_PLANS else None
+    if column is None:
+        return statement
+    return f"SELECT * REPLACE (CAST({column} AS STRING) AS {column}) FROM ({statement}) q"
+
+
+def _query(plan: Callable[[Dialect], str]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        statement = plan(SPARK)
+        register(spark, sf_dir, statement)
+        result = spark.sql(statement)
+        dates = [c for c, kind in result.dtypes if kind == "date"]
+        return result.withColumns({c: result[c].cast("string") for c in dates}) if dates else result
+
+    run.__name__ = plan.__name__
+    return run
+
+
+PLANS = {plan.__name__: plan for plan in [*TABLES, *FEATURES]}
+QUERIES = {name: _query(plan) for name, plan in PLANS.items()}
+ORACLES = {name: _iso(name, plan(ORACLE)) for name, plan in PLANS.items()}
