@@ -28,7 +28,7 @@ def canonical_lines(text: Column) -> Column:
     t = F.when(named, F.regexp_replace(t, _COPYRIGHT, "")).otherwise(t)
     t = reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), SPELLINGS.items(), t)
     t = F.regexp_replace(t, r"[^\p{L}\p{N}\n]+", " ")
-    return F.filter(F.transform(F.split(t, "\n"), F.trim), lambda line: line != "")
+    return F.filter(F.transform(F.split(t, "\n"), lambda line: F.trim(line)), lambda line: line != "")
 
 
 def known_licenses(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:

@@ -55,6 +55,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return levels.withColumn("target", target).select("source", "source_size", F.greatest("target", F.lit(0.0)).alias("target"))
 
 
+def _exact_sum(x: Column) -> Column:
+    """Sum of whole millionths: the same in whatever order the rows come, so reruns agree to the last bit."""
+    return (F.sum(F.round(x * 1e6).cast("decimal(28,0)")) / F.lit(1_000_000)).cast("double")
+
+
 def _multipliers(histogram: DataFrame, targets: DataFrame, most: int, rounds: int = 40) -> DataFrame:
     """Newton on each source's dual; (source, multiplier, mean, edge), edge -1 / 1 where all rates are 0 / ``most``."""
     state = c.materialise(
@@ -76,7 +81,7 @@ def _multipliers(histogram: DataFrame, targets: DataFrame, most: int, rounds: in
         sums = (
             histogram.join(state.filter("edge = 0 and not done").select(F.col("source").alias("s"), "m", "mean"), F.col("source").eqNullSafe(F.col("s")))
             .groupBy("source")
-            .agg(F.sum(F.col("n") * F.col("size") * rate).alias("f"), F.sum(F.col("n") * F.col("size") * slope).alias("df"))
+            .agg(_exact_sum(F.col("n") * F.col("size") * rate).alias("f"), _exact_sum(F.col("n") * F.col("size") * slope).alias("df"))
             .select(F.col("source").alias("s"), "f", "df")
         )
         over = F.col("f") - F.col("target")
