@@ -51,7 +51,7 @@ _BYTES = bytes(
 )
 _SIGNS = re.compile(rb"[0-9@$|]")
 # Numbers, and signs that do not begin or break up a word, are not letters.
-_NOT_LETTERS = re.compile(rb"(?<![a-z0-9@$])[0-9]+(?![a-z0-9@$])|[@$]+(?![a-z0-9@$])|(?<![a-z])\|+|\|+(?![a-z])|[0-9]*[26][0-9]*(?![a-z])")
+_NOT_LETTERS = re.compile(rb"(?<![a-z0-9@$])[0-9@$]+(?![a-z0-9@$])|[@$]+(?![a-z0-9@$])|(?<![a-z])\|+|\|+(?![a-z])|[0-9]*[26][0-9]*(?![a-z])")
 
 
 def fold(text: str) -> str:
