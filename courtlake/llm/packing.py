@@ -17,8 +17,9 @@ the pieces by (length, rank range).
 
 from __future__ import annotations
 
+import base64
 import bisect
-import re
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -30,8 +31,6 @@ from pyspark.sql import functions as F
 from courtlake.llm import common as c
 
 CAPACITY, END_ID = 2048, 0
-#: Space-separated runs whose ids a Python worker remembers before it starts afresh.
-CACHED_RUNS = 300_000
 _SALTS = 64
 
 
@@ -41,52 +40,36 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-_MEET = re.compile(r"\s\s")
-
-
-class Encoder(dict):
+class Encoder:
     """Token ids of whole texts, as little-endian uint32 bytes.
 
-    The pre-tokeniser never joins characters across a single space that has
-    other characters than white space on both sides, so a text is the
-    concatenation of the runs between such spaces (each with the space before
-    it), and runs repeat: the mapping itself holds the ids of ``" " + run``.
+    Where the vocabulary also lies beside the tokenizer's file as ranks, the
+    ranks are used: they give the same ids several times faster.  Texts that
+    hold one of the tokenizer's special strings go through the tokenizer itself.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.fast = self._ranks(path.removesuffix(".json") + ".tiktoken")
 
-    def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    @staticmethod
+    def _ranks(path: str):
+        import public_tokenizers
+        import tiktoken
 
-    def __missing__(self, run: str) -> bytes:
-        if len(self) >= CACHED_RUNS:
-            self.clear()
-        value = self[run] = self.ids(" " + run)
-        return value
+        if not os.path.exists(path):
+            return None
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        runs = text.split(" ")
-        if text[0] == " " or text[-1] == " " or _MEET.search(text):
-            runs = self._joined(runs)
-        return self.ids(runs[0]) + b"".join(map(self.__getitem__, runs[1:]))
-
-    @staticmethod
-    def _joined(parts: list[str]) -> list[str]:
-        """Runs that end only where the rule holds: parts that meet white space stay together."""
-        out, held = [], [parts[0]]
-        for p in parts[1:]:
-            if held[-1] and not held[-1][-1].isspace() and p and not p[0].isspace():
-                out.append(" ".join(held))
-                held = [p]
-            else:
-                held.append(p)
-        return [*out, " ".join(held)]
+        if self.fast is not None and not any(s in text for s in self.special):
+            return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"

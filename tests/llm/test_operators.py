@@ -214,7 +214,7 @@ def test_packing(docs, texts, empty):
 
 def test_encoder_runs():
     e = Encoder(default_tokenizer())
-    for t in ("a  b", " a", "a ", "a \n b\n\nc", "it's fine x  y", "　 a b", "a b\tc d", "é ü  ß", "  ", "\n"):
+    for t in ("a  b", " a", "a ", "a \n b\n\nc", "it's fine x  y", "　 a b", "a b\tc d", "é ü  ß", "  ", "\n", "x <|endoftext|> y", ""):
         assert np.frombuffer(e.encode(t), "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
