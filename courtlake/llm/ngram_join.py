@@ -202,7 +202,7 @@ def _large_clusters(large: DataFrame, percent: int) -> DataFrame:
                 near.append(_linked(np.frombuffer(t, np.uint64), n, np.frombuffer(p["tokens"], np.uint64), p["n"], percent))
             pivots = pa.array([p["key"] for p in b.column("pivot").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column("cluster"), b.column("key"), b.column("n"), b.column("tokens"), pivots, pa.array(near)], names=["cluster", "key", "n", "tokens", "hub", "near"]
+                [b.column("cluster"), b.column("key"), b.column("n"), b.column("tokens"), pivots, pa.array(near, pa.bool_())], names=["cluster", "key", "n", "tokens", "hub", "near"]
             )
 
     marked = c.materialise(

@@ -204,7 +204,7 @@ def learn_lexicon(docs: DataFrame, rows: DataFrame, per_class: int = PER_CLASS)
         for b in batches:
             folded = [fold(t or "") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([weigh(f, a) for f in folded]), pa.array([len(f.split()) for f in folded], pa.int64()), b.column("label")], names=["weight", "words", "label"]
+                [pa.array([weigh(f, a) for f in folded], pa.float64()), pa.array([len(f.split()) for f in folded], pa.int64()), b.column("label")], names=["weight", "words", "label"]
             )
 
     measured = texts.mapInArrow(measure, "weight double, words long, label int").toPandas()
