@@ -19,6 +19,7 @@ from courtlake.llm.toxicity import score_toxicity
 
 _COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 _REPLICA_BITS = 2
+_WORD_END = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,8 @@ def to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mix(docs).filter("taken > 0").select("doc_id", "size", "taken")
     copies = docs.join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)))
     left = F.col("taken") - F.col("copy") * F.col("size")
-    cut = F.regexp_substr("text", F.concat(F.lit(r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+[\x20\x09-\x0D]*){"), left.cast("string"), F.lit("}")))
+    # Split where words end: a repeated group would recurse once per word.
+    cut = F.array_join(F.slice(F.split("text", _WORD_END), F.lit(1), left.cast("int")), "")
     text = F.when(left < F.col("size"), cut).otherwise(F.col("text"))
     doc_id = F.when(F.col("copy") == 0, F.col("doc_id")).otherwise(-F.shiftleft("doc_id", _REPLICA_BITS) - F.col("copy") - 1)
     out = copies.select(doc_id.alias("doc_id"), text.alias("text"), "lang", "source")
