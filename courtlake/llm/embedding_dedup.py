@@ -28,6 +28,8 @@ from courtlake.llm.vectors import matrix, valid_vectors
 
 THRESHOLD, TABLES, PROBES, SEED = 0.95, 8, 3, 20240229
 BLOCK = 1024
+#: Rows compared with a block at once, and found pairs looked at together.
+STRIP, PAIRS = 128, 1 << 13
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -81,24 +83,20 @@ def bucket_codes(x: np.ndarray, tables: int, functions: int, probes: int, seed:
     return out
 
 
-def _forest(near: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each vector with the smallest number it is connected to, by hooking and pointer jumping."""
-    label = np.arange(len(ids))
-    a, b = np.nonzero(near)
-    while len(a):
+def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` (each row's smallest connected row) after the edges (a, b), by hooking and pointer jumping."""
+    while True:
+        split = label[a] != label[b]
+        a, b = a[split], b[split]
+        if not len(a):
+            return label
         least = label.copy()
         np.minimum.at(least, a, label[b])
         np.minimum.at(least, b, label[a])
         np.minimum.at(least, label, least)
         while not np.array_equal(least, least[least]):
             least = least[least]
-        if np.array_equal(least, label):
-            break
         label = least
-        split = label[a] != label[b]
-        a, b = a[split], b[split]
-    moved = np.flatnonzero(label != np.arange(len(ids)))
-    return ids[moved], ids[label[moved]]
 
 
 def near_vectors(
@@ -163,18 +161,26 @@ def near_vectors(
         x = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(len(keys), -1)
         codes = matrix(table.column("buckets"))
         copies = table.column("copies").to_numpy()
-        near = x @ x.T >= threshold
-        near &= block[:, None] != block[None, :] if i != j else np.tri(len(keys), k=-1, dtype=bool)
-        if i != j:
-            near &= np.tri(len(keys), k=-1, dtype=bool)
-        a, b = np.nonzero(near)
-        for s in range(0, len(a), 1 << 16):  # a pair counts in the first bucket that it shares
-            u, v = a[s : s + (1 << 16)], b[s : s + (1 << 16)]
-            shared = (codes[u][:, :, None] == codes[v][:, None, :]).any(2)
-            near[u, v] = np.where(shared, codes[u], np.iinfo(np.int64).max).min(1) == bucket
-        links = near @ copies + near.T @ copies
+        links, label = np.zeros(len(keys), np.int64), np.arange(len(keys))
+        for s in range(0, len(keys), STRIP):  # a strip of rows at a time, so memory is bounded by STRIP * BLOCK
+            near = x[s : s + STRIP] @ x[: s + STRIP].T >= threshold
+            near &= np.tri(*near.shape, k=s - 1, dtype=bool)
+            if i != j:
+                near &= block[s : s + STRIP, None] != block[None, : s + STRIP]
+            a, b = np.nonzero(near)
+            a += s
+            for t in range(0, len(a), PAIRS):
+                u, v = a[t : t + PAIRS], b[t : t + PAIRS]
+                # A pair counts in the first bucket that it shares.
+                shared = (codes[u][:, :, None] == codes[v][:, None, :]).any(2)
+                first = np.where(shared, codes[u], np.iinfo(np.int64).max).min(1) == bucket
+                u, v = u[first], v[first]
+                np.add.at(links, u, copies[v])
+                np.add.at(links, v, copies[u])
+                label = _merge(label, u, v)
         has = np.flatnonzero(links)
-        node, root = _forest(near, keys)
+        moved = np.flatnonzero(label != np.arange(len(keys)))
+        node, root = keys[moved], keys[label[moved]]
         return pa.table(
             {
                 "key": np.concatenate([keys[has], node]),
