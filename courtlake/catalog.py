@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from courtlake.functions.dialect import ORACLE, SPARK, Dialect
+from courtlake.plans.base import GAMES, TEAMS
 from courtlake.plans.features import FEATURES
 from courtlake.plans.tables import TABLES
 
@@ -59,3 +60,24 @@ def _query(plan: Callable[[Dialect], str]) -> Callable[[SparkSession, str], Data
 PLANS = {plan.__name__: plan for plan in [*TABLES, *FEATURES]}
 QUERIES = {name: _query(plan) for name, plan in PLANS.items()}
 ORACLES = {name: _iso(name, plan(ORACLE)) for name, plan in PLANS.items()}
+
+
+#: The catalogue's games view, drawn from games in canonical columns instead of the order tables.
+LEAGUE_GAMES = """
+gm AS (SELECT *, CAST(CASE WHEN month(gameDate) >= 9 THEN year(gameDate) ELSE year(gameDate) - 1 END AS BIGINT) AS y FROM {games}),
+games AS (SELECT gameId AS game_id, CAST(gameDate AS DATE) AS game_date, CAST(y AS STRING) || '/' || right(CAST(y + 1 AS STRING), 2) AS season, y AS season_start,
+                 hometeamId AS home, awayteamId AS away, homeScore AS home_score, awayScore AS away_score, winner, gameLabel AS label, arenaId AS arena,
+                 CASE WHEN homeScore > 0 AND awayScore > 0 THEN 0 ELSE 1 END AS postponed FROM gm)"""
+LEAGUE_TEAMS = """
+teams AS (SELECT CAST(teamId AS BIGINT) AS team, teamName AS name, Conference AS conf FROM {teams})"""
+
+
+def run_plan(name: str, games: DataFrame, teams: DataFrame | None = None) -> DataFrame:
+    """A plan over ingested games (canonical columns) and teams (teamId, teamName, Conference), not the order tables."""
+    statement = PLANS[name](SPARK)
+    if GAMES not in statement or (TEAMS in statement and teams is None):
+        raise ValueError(f"{name} needs {'teams' if GAMES in statement else 'other tables'}")
+    statement = statement.replace(GAMES, LEAGUE_GAMES).replace(TEAMS, LEAGUE_TEAMS)
+    statement = statement.replace("{games}", "{league_games}").replace("{teams}", "{league_teams}")
+    frames = {"league_games": games} | ({"league_teams": teams} if "{league_teams}" in statement else {})
+    return games.sparkSession.sql(statement, **frames)
