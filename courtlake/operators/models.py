@@ -147,23 +147,30 @@ def two_sided_binomial(hits: int, n: int) -> float:
     return min(1.0, sum(c for k in range(n + 1) if (c := math.comb(n, k)) <= at) / 2**n)
 
 
-def select_features(table: DataFrame, key: str, names: Sequence[str], label: str = "y", rounds: int = 20, trees: int = 100, alpha: float = 0.05, seed: int = 42) -> dict[str, str]:
+def select_features(table: DataFrame, key: str, names: Sequence[str], label: str = "y", rounds: int = 20, trees: int = 100, depth: int = 5, alpha: float = 0.05, seed: int = 42) -> dict[str, str]:
     """Each feature is ``confirmed``, ``tentative`` or ``rejected`` by whether it beats the best of the shadow features.
 
     A round's shadows are the features of another row, dealt by joining two
     seeded hash ranks, so they keep their own correlations but say nothing of
     the label.  A hit is an importance above every shadow's.
     """
-    kinds = {"numeric": [*names, *(f"shadow_{n}" for n in names)], "flag": [], "category": []}
+    filled = Imputer(inputCols=list(names), outputCols=[f"{n}__filled" for n in names])
+    doubles = table.select(key, label, *[F.col(n).cast("double").alias(n) for n in names])
+    whole = filled.fit(doubles).transform(doubles).select(key, label, *[F.col(f"{n}__filled").alias(n) for n in names])
+    mine = shuffled_rank(whole, key, seed).drop("_size").persist()  # every round passes over it
+    inputs = [*names, *(f"shadow_{n}" for n in names)]
+    assemble = VectorAssembler(inputCols=inputs, outputCol="features")
     hits = dict.fromkeys(names, 0)
     for r in range(rounds):
-        mine = shuffled_rank(table.select(key, label, *names), key, seed + 2 * r).drop("_size")
-        other = shuffled_rank(table.select(key, *names), key, seed + 2 * r + 1).select("_rank", *[F.col(n).alias(f"shadow_{n}") for n in names])
-        model = train(mine.join(other, "_rank"), kinds, learner("forest", label, seed + r, numTrees=trees, maxDepth=5))
-        weight = dict(zip(kinds["numeric"], model.stages[-1].featureImportances.toArray(), strict=True))
+        other = shuffled_rank(mine.select(key, *names), key, seed + r + 1).select("_rank", *[F.col(n).alias(f"shadow_{n}") for n in names])
+        dealt = assemble.transform(mine.join(other, "_rank")).select("features", label).persist()
+        model = learner("forest", label, seed + r, numTrees=trees, maxDepth=depth).fit(dealt)
+        dealt.unpersist()
+        weight = dict(zip(inputs, model.featureImportances.toArray(), strict=True))
         bar = max(v for k, v in weight.items() if k.startswith("shadow_"))
         for name in names:
             hits[name] += int(weight[name] > bar)
+    mine.unpersist()
     verdict = {}
     for name, h in hits.items():
         sure = two_sided_binomial(h, rounds) < alpha

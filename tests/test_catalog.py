@@ -6,6 +6,7 @@ import math
 import duckdb
 import pytest
 
+from courtlake import learned
 from courtlake.catalog import ORACLES, QUERIES, SOURCES
 
 SF = "/root/testdata/sf0.001"
@@ -58,3 +59,13 @@ def test_record_brute_force(spark):
         w.append(g.win)
     got = {(r.game_id, r.team): (r.total_wins, r.games_played, r.record_L5) for r in QUERIES["record_rolling"](spark, SF).collect()}
     assert got == want
+
+
+def test_column_mapping_equals_oracle(spark, oracle):
+    got, want = learned.QUERIES["column_mapping"](spark, SF).toPandas(), oracle.execute(learned.ORACLES["column_mapping"]).df()
+    assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("name", sorted(learned.QUERIES.keys() - learned.ORACLES.keys()))
+def test_learned_queries_give_rows(spark, name):
+    assert learned.QUERIES[name](spark, SF).count() > 0
