@@ -18,14 +18,24 @@ from courtlake.llm.licenses import FULL_TEXTS, NOTICES, SPELLINGS
 
 #: The known side is broadcast only while it has no more than this many licences; above, the join shuffles.
 BROADCAST_LICENSES = 20_000
-_COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n(©]*(?:copyright\s+(?:\(c\)|©|\d|by\b|[<\[{])|\(c\)\s|©)[^\n]*$|^[^\p{L}\n]*all rights reserved\.?[^\p{L}\n]*$"
+#: What licences go on with after "copyright", so that a line that a wrap begins there is prose, not an owner's name;
+#: small words only in capitals, since in capitals alone they look like names ("Copyright The Authors" is one).
+_LEGAL = r"acts?|claims?|disclaim\w*|doctrines?|holders?|information|interests?|laws?|legends?|licen[cs]\w*|management|markings?|notices?|owners?|ownership|permissions?|protections?|registrations?|rights?|statements?|status|terms?|treat(?:y|ies)"
+_SMALL = r"A|AND|ARE|AS|BY|FOR|FROM|HAS|HAVE|IF|IN|INCLUDING|IS|MAY|MUST|NOT|OF|ON|OR|SHALL|THAT|THE|THIS|TO|UNDER|WAS|WERE|WHICH|WILL|WITH"
+_COPYRIGHT = (
+    r"(?m)^[^\p{L}\p{N}\n(©]*(?:(?i:copyright)\s+(?:(?i:\(c\))|©|\d|(?i:by)\b|[<\[{])|(?i:\(c\))\s|©)[^\n]*$"
+    rf"|^[^\p{{L}}\p{{N}}\n(©]*(?i:copyright):?[ \t]+(?!(?:(?i:{_LEGAL})|{_SMALL})\b)[\p{{Lu}}\p{{Lo}}][^\n]*$"
+    r"|^[^\p{L}\n]*(?i:all rights reserved)\.?[^\p{L}\n]*$"
+)
 
 
 def canonical_lines(text: Column) -> Column:
     """The text's lines in canonical form; empty ones are left out."""
-    t = F.lower(F.coalesce(text, F.lit("")))
+    raw = F.coalesce(text, F.lit(""))
+    t = F.lower(raw)
     named = F.contains(t, F.lit("copyright")) | F.contains(t, F.lit("(c)")) | F.contains(t, F.lit("©")) | F.contains(t, F.lit("all rights reserved"))
-    t = F.when(named, F.regexp_replace(t, _COPYRIGHT, "")).otherwise(t)
+    # Before lower case: an owner's name begins with a capital letter.
+    t = F.when(named, F.lower(F.regexp_replace(raw, _COPYRIGHT, ""))).otherwise(t)
     t = reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), SPELLINGS.items(), t)
     t = F.regexp_replace(t, r"[^\p{L}\p{N}\n]+", " ")
     return F.filter(F.transform(F.split(t, "\n"), lambda line: F.trim(line)), lambda line: line != "")

@@ -1,4 +1,15 @@
-"""Known licence texts, one-line notices and equivalent spellings (fixed values)."""
+"""Known licence texts, one-line notices and equivalent spellings (fixed values).
+
+The longer texts are files of ``license_texts``, read on the driver only.
+"""
+
+from __future__ import annotations
+
+import itertools
+import re
+from pathlib import Path
+
+_FILES = Path(__file__).with_name("license_texts")
 
 #: Spellings that the SPDX matching guidelines treat alike, as variant -> canonical.
 SPELLINGS = {
@@ -128,16 +139,86 @@ See the License for the specific language governing permissions and
 limitations under the License.
 """
 
-#: Whole licence texts, with and without their title line, and notices that stand alone.
-FULL_TEXTS = {
-    "MIT": "MIT License\n" + _MIT + _AS_IS,
-    "MIT (no title)": _MIT + _AS_IS,
-    "ISC": "ISC License\n" + _ISC_GRANT + ", provided that the above\ncopyright notice and this permission notice appear in all copies.\n" + _ISC_DISCLAIMER,
-    "ISC (no title)": _ISC_GRANT + ", provided that the above\ncopyright notice and this permission notice appear in all copies.\n" + _ISC_DISCLAIMER,
+#: Title lines of licences whose text above has none; the first is the usual one.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License"),
+    "BSD-3-Clause (University)": ("BSD License", "BSD 3-Clause License", "The BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+
+#: What the whole texts begin with and copies leave out, as patterns; each entry goes with those before it.
+_HEADS = {
+    "Apache-2.0": (r"Apache License\s+Version 2\.0, January 2004\s+http://www\.apache\.org/licenses/",),
+    "Artistic-1.0-Perl": (r"The \"Artistic License\"",),
+    "BSL-1.0": (r"Boost Software License - Version 1\.0 - August 17th, 2003",),
+    "CC0-1.0": (r"Creative Commons Legal Code", r"CC0 1\.0 Universal", r"CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM.*?HEREUNDER\.(?=\s+Statement)"),
+    "MPL-1.1": (r"MOZILLA PUBLIC LICENSE\s+Version 1\.1\s+-+",),
+    "MPL-2.0": (r"Mozilla Public License Version 2\.0\s+=+",),
+    **{f"GFDL-{v}": (r"GNU Free Documentation License\s+Version 1\.\d, [^\n]*",) for v in ("1.2", "1.3")},
+    **{f"{x}GPL-{v}": (r"GNU [A-Z ]*PUBLIC LICENSE\s+Version [^\n]*",) for x, v in (("", "1.0"), ("", "2.0"), ("", "3.0"), ("L", "2.0"), ("L", "2.1"), ("L", "3.0"))},
+}
+#: From here on a text only says how to apply it, and copies leave it out.
+_APPENDIX = re.compile(r"\n[ \t]*(?:(?:APPENDIX|Appendix|ADDENDUM): )?How to (?:apply the Apache License|Apply These Terms|use this License).*", re.S)
+_END = re.compile(r"\n[ \t]*END OF TERMS AND CONDITIONS\s*$")
+#: The Free Software Foundation's addresses, as its texts of different years give them.
+_ADDRESS = re.compile(r"51 Franklin St(?:reet)?, Fifth Floor,\s+Boston,\s+MA\s+02110-1301,?\s+USA")
+_ADDRESSES = (
+    "51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA",
+    "51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA",
+    "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA",
+    "59 Temple Place - Suite 330, Boston, MA 02111-1307, USA",
+    "675 Mass Ave, Cambridge, MA 02139, USA",
+)
+
+
+def _forms(license_id: str, text: str) -> dict[str, str]:
+    """A whole text as it is, without its title, without its appendix, and with each address."""
+    heads, rest = {"": text}, text
+    for k, pattern in enumerate(_HEADS.get(license_id, ())):
+        rest, found = re.subn(r"^\s*" + pattern, "", rest, count=1, flags=re.S if k else 0)
+        if not found:
+            raise ValueError(f"{license_id} does not begin with {pattern}")
+        heads["no title" if k == 0 else f"no title {k + 1}"] = rest
+    out = {}
+    for (head, t), address in itertools.product(heads.items(), ("", *_ADDRESSES) if _ADDRESS.search(text) else ("",)):
+        t = _ADDRESS.sub(address, t) if address else t
+        short = _APPENDIX.sub("", t)
+        ends = {"": t} | ({"no appendix": short, "no appendix, no end line": _END.sub("", short)} if short != t else {})
+        for end, whole in ends.items():
+            about = ", ".join(filter(None, (head, end, address)))
+            out[f"{license_id} ({about})" if about else license_id] = whole
+    return out
+
+
+def _titled(license_id: str, text: str) -> dict[str, str]:
+    titles = TITLES.get(license_id, ())
+    return {f"{license_id} (title {k})": f"{title}\n{text}" for k, title in enumerate(titles, 1)}
+
+
+_PLAIN = {
+    "MIT": _MIT + _AS_IS,
+    "ISC": _ISC_GRANT + ", provided that the above\ncopyright notice and this permission notice appear in all copies.\n" + _ISC_DISCLAIMER,
     "0BSD": _ISC_GRANT + ".\n" + _ISC_DISCLAIMER,
     "BSD-2-Clause": _BSD_START + _BSD_END,
     "BSD-3-Clause": _BSD_START + _BSD_THIRD + _BSD_END,
     "Zlib": _ZLIB,
+}
+_WHOLE = {f.stem: f.read_text("utf-8") for f in sorted(_FILES.glob("*.txt"))}
+
+#: Whole licence texts, with and without their title line, and notices that stand alone.
+FULL_TEXTS = {
+    **{k: v for name, text in _WHOLE.items() for k, v in _forms(name, text).items()},
+    **{k: v for name, text in (_PLAIN | _WHOLE).items() for k, v in _titled(name, text).items()},
+    **_PLAIN,
+    "MIT": f"{TITLES['MIT'][0]}\n{_PLAIN['MIT']}",
+    "MIT (no title)": _PLAIN["MIT"],
+    "ISC": f"{TITLES['ISC'][0]}\n{_PLAIN['ISC']}",
+    "ISC (no title)": _PLAIN["ISC"],
     "Apache-2.0 (header)": _APACHE_HEADER,
     **{f"{k} (notice)": v for k, v in NOTICES.items()},
 }

@@ -4,11 +4,13 @@ import collections
 import hashlib
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from courtlake.llm import licenses
 from courtlake.llm.embedding_dedup import near_vectors
 from courtlake.llm.license_scan import scan_licenses
 from courtlake.llm.licenses import FULL_TEXTS
@@ -255,6 +257,32 @@ def test_licenses(spark):
     assert "Python" not in got._jdf.queryExecution().toString()
 
 
+def test_licenses_of_common_texts_in_all_forms(spark):
+    def whole(name, cut=None):
+        text = (Path(licenses.__file__).with_name("license_texts") / f"{name}.txt").read_text("utf-8")
+        return text if cut is None else text.partition(cut)[2]
+
+    bsd, zlib = FULL_TEXTS["BSD-3-Clause"], FULL_TEXTS["Zlib"]
+    cases = {name: whole(name) for name in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "BSL-1.0", "Unlicense", "CC0-1.0")}
+    cases |= {"Apache-2.0 (cut)": whole("Apache-2.0", "http://www.apache.org/licenses/").partition("APPENDIX:")[0], "GPL-3.0 (cut)": whole("GPL-3.0", "29 June 2007")}
+    cases |= {"MPL-2.0 (cut)": whole("MPL-2.0", "Version 2.0"), "BSL-1.0 (cut)": whole("BSL-1.0", "17th, 2003"), "CC0-1.0 (cut)": whole("CC0-1.0", "Legal Code")}
+    cases |= {"GPL-2.0 (59)": re.sub(r"51 Franklin Street, Fifth Floor, Boston, MA\s+02110-1301,? USA", "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", whole("GPL-2.0"))}
+    cases |= {"BSD-3-Clause": f"BSD 3-Clause License\n\nCopyright (c) 2020, A\n{bsd}", "BSD-2-Clause": "BSD 2-Clause License\n" + FULL_TEXTS["BSD-2-Clause"], "Zlib": f"zlib License\n{zlib}"}
+    cases |= {"0BSD": "BSD Zero Clause License\n" + FULL_TEXTS["0BSD"], "MIT": "Copyright Joyent, Inc. and other Node contributors.\n" + FULL_TEXTS["MIT"], "ISC": "Copyright The Authors\n" + FULL_TEXTS["ISC"]}
+    got = scan_licenses(spark.createDataFrame(list(enumerate(cases.values())), "doc_id long, text string")).collect()
+    found = {list(cases)[r.doc_id]: r.license_id for r in got}
+    assert {k: (v or "").split(" ")[0] for k, v in found.items()} == {k: k.split(" ")[0] for k in cases}
+
+
+def test_licenses_do_not_depend_on_wraps_before_copyright(spark):
+    owner = re.compile(r"copyright\s+(?:\(c\)|©|\d|by\b|[<\[{])", re.I)
+    wrap = lambda line: line if owner.search(line) else re.sub(r"[ \t]+(?=copyright\b)", "\n", line, flags=re.I)
+    texts = [x for t in FULL_TEXTS.values() for x in (t, t.upper())]
+    rows = [(i, x) for i, t in enumerate(texts) for x in (t, "\n".join(map(wrap, t.split("\n"))))]
+    got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), notices={}).groupBy("doc_id").agg(F.countDistinct("digest").alias("n"), F.count("license_id").alias("known"))
+    assert {(r.n, r.known) for r in got.collect()} == {(1, 2)}
+
+
 def labelled(spark):
     docs, labels = [], []
     for i in range(400):
