@@ -6,6 +6,8 @@ from courtlake.functions.dialect import Dialect
 from courtlake.plans.base import DISTANCE_LAGS, GAMES, LAGS, LOCATION_LAGS, TEAM_GAMES, TEAMS, W, before, previous
 
 KEY = "game_id, season, team, game_date"
+#: The largest lag: a season's strength of schedule, and the adjusted record that stands for an opponent's quality.
+SEASON = max(LAGS)
 MEASURED = "measured AS (SELECT *, ROW_NUMBER() OVER (" + W + ") AS rn FROM tg)"
 
 
@@ -192,8 +194,13 @@ def _sos_cte(d: Dialect, lags: tuple[int, ...], least: int) -> str:
         LEAD(game_date) OVER ({W}) AS nxt FROM tg),
 met AS (SELECT i.season, i.team, i.game_id, i.game_date, j.opp, i.rn - j.rn AS back FROM st i LEFT JOIN st j
         ON i.season = j.season AND i.team = j.team AND j.rn BETWEEN i.rn - {most} AND i.rn - 1),
-looked AS (SELECT m.season, m.team, m.game_id, m.game_date, m.back, o.pct FROM met m LEFT JOIN st o
-         ON o.season = m.season AND o.team = m.opp AND o.game_date < m.game_date AND (o.nxt IS NULL OR o.nxt >= m.game_date)),
+played AS (SELECT DISTINCT season, game_date FROM st),
+squad AS (SELECT DISTINCT season, team FROM st),
+closed AS (SELECT season, team, game_date, pct FROM st WHERE nxt IS NULL OR nxt > game_date),
+form AS (SELECT q.season, q.team, p.game_date, {d.last('c.pct')} OVER (PARTITION BY q.season, q.team ORDER BY p.game_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pct
+         FROM squad q JOIN played p ON q.season = p.season LEFT JOIN closed c ON c.season = q.season AND c.team = q.team AND c.game_date = p.game_date),
+looked AS (SELECT m.season, m.team, m.game_id, m.game_date, m.back, o.pct FROM met m LEFT JOIN form o
+         ON o.season = m.season AND o.team = m.opp AND o.game_date = m.game_date),
 sos AS (SELECT game_id, season, team, game_date, {cols} FROM looked GROUP BY game_id, season, team, game_date)"""
 
 
@@ -218,9 +225,9 @@ def _gds(d: Dialect, side: str) -> str:
     w = W
     raw = d.r("CASE WHEN win = 1 THEN q * (1 + 0.1 * (1 - is_home)) ELSE -(1 - q) * (1 + 0.1 * is_home) END", 4)
     cols = ", ".join(f"{d.r(previous('units', n, w) + ' / 1e4', 4)} AS gds_L{n}" for n in (3, 5, 13))
-    return f"""WITH {TEAM_GAMES}, {_sos_adj(d, 13)},
+    return f"""WITH {TEAM_GAMES}, {_sos_adj(d, SEASON)},
 prior AS (SELECT game_id, team, CAST({before('win')} AS DOUBLE) / NULLIF(ROW_NUMBER() OVER ({W}) - 1, 0) AS pct FROM tg),
-qq AS (SELECT a.*, COALESCE(o.sos_adj_record_L13, p.pct) AS q0 FROM adj a
+qq AS (SELECT a.*, COALESCE(o.sos_adj_record_L{SEASON}, p.pct) AS q0 FROM adj a
        LEFT JOIN adj o ON o.game_id = a.game_id AND o.team = a.opp LEFT JOIN prior p ON p.game_id = a.game_id AND p.team = a.opp),
 q AS (SELECT *, CASE WHEN q0 IS NOT NULL THEN least(greatest(q0, 0.0), 1.0) END AS q FROM qq),
 g AS (SELECT *, CAST(ROUND({raw} * 1e4) AS BIGINT) AS units FROM q {side})
@@ -260,17 +267,29 @@ def last_season_away_record(d: Dialect) -> str:
     return _last_season(d, "WHERE is_home = 0", "last_season_away_record")
 
 
+def _adjusted_last_season(d: Dialect, side: str, name: str) -> str:
+    return f"""WITH {TEAM_GAMES}, {_sos_cte(d, (SEASON,), 1)},
+ranked AS (SELECT s.season, s.team, s.sos_L{SEASON}, ROW_NUMBER() OVER (PARTITION BY s.season, s.team ORDER BY s.game_date DESC, s.game_id DESC) AS k FROM sos s WHERE s.sos_L{SEASON} IS NOT NULL),
+final AS (SELECT season, team, sos_L{SEASON} AS sos FROM ranked WHERE k = 1),
+pct AS (SELECT season, season_start, team, {d.r('CAST(SUM(win) AS DOUBLE) / COUNT(*)', 4)} AS p FROM tg {side} GROUP BY season, season_start, team),
+rated AS (SELECT pct.season_start, pct.team, pct.p, final.sos, CAST(SUM(CAST(ROUND(final.sos * 1e4) AS BIGINT)) OVER (PARTITION BY pct.season) AS DOUBLE) / NULLIF(COUNT(final.sos) OVER (PARTITION BY pct.season), 0) / 1e4 AS m
+          FROM pct LEFT JOIN final ON final.season = pct.season AND final.team = pct.team),
+adj AS (SELECT season_start, team, {d.r('p * (sos / NULLIF(m, 0))', 4)} AS pct FROM rated),
+now AS (SELECT DISTINCT season, season_start, team FROM tg {side})
+SELECT now.season, now.team, COALESCE(adj.pct, MIN(adj.pct) OVER (PARTITION BY now.season)) AS {name} FROM now
+LEFT JOIN adj ON adj.team = now.team AND adj.season_start = now.season_start - 1"""
+
+
 def adjusted_last_season_record(d: Dialect) -> str:
-    return f"""WITH {TEAM_GAMES}, {_sos_cte(d, (13,), 1)},
-ranked AS (SELECT s.season, s.team, s.sos_L13, ROW_NUMBER() OVER (PARTITION BY s.season, s.team ORDER BY s.game_date DESC, s.game_id DESC) AS k FROM sos s WHERE s.sos_L13 IS NOT NULL),
-final AS (SELECT season, team, sos_L13 AS sos FROM ranked WHERE k = 1),
-mean AS (SELECT season, CAST(SUM(CAST(ROUND(sos * 1e4) AS BIGINT)) AS DOUBLE) / COUNT(*) / 1e4 AS m FROM final GROUP BY season),
-pct AS (SELECT tg.season, tg.season_start, tg.team, CAST(SUM(win) AS DOUBLE) / COUNT(*) AS p FROM tg GROUP BY tg.season, tg.season_start, tg.team),
-adj AS (SELECT pct.season_start, pct.team, {d.r('p * (sos / NULLIF(m, 0))', 4)} AS pct FROM pct LEFT JOIN final ON final.season = pct.season AND final.team = pct.team LEFT JOIN mean ON mean.season = pct.season),
-low AS (SELECT season_start, MIN(pct) AS low FROM adj GROUP BY season_start),
-now AS (SELECT DISTINCT season, season_start, team FROM tg)
-SELECT now.season, now.team, COALESCE(adj.pct, low.low) AS adjusted_last_season_record FROM now
-LEFT JOIN adj ON adj.team = now.team AND adj.season_start = now.season_start - 1 LEFT JOIN low ON low.season_start = now.season_start - 1"""
+    return _adjusted_last_season(d, "", "adjusted_last_season_record")
+
+
+def adjusted_last_season_home_record(d: Dialect) -> str:
+    return _adjusted_last_season(d, "WHERE is_home = 1", "adjusted_last_season_home_record")
+
+
+def adjusted_last_season_away_record(d: Dialect) -> str:
+    return _adjusted_last_season(d, "WHERE is_home = 0", "adjusted_last_season_away_record")
 
 
 def _standings(d: Dialect) -> str:
@@ -403,7 +422,8 @@ FEATURES = [
     record_rolling, home_record_rolling, away_record_rolling, pts_diff_rolling, home_pts_diff_rolling, away_pts_diff_rolling, season_avg_total_points,
     norm_pts_diff_rolling, home_norm_pts_diff_rolling, away_norm_pts_diff_rolling, streak, cum_win_pct, centered_home_win_ratio, attendance_rolling, season_spine,
     east_west_record, east_record_at_east, west_record_at_west, rested_days, days_home_road, travel_distance, strength_of_schedule, sos_adjusted_record,
-    game_difficulty, gds_home, gds_away, last_season_record, last_season_home_record, last_season_away_record, adjusted_last_season_record, standings,
+    game_difficulty, gds_home, gds_away, last_season_record, last_season_home_record, last_season_away_record, adjusted_last_season_record,
+    adjusted_last_season_home_record, adjusted_last_season_away_record, standings,
     playoff_flags, h2h_records, games_remaining, wide_features, delta_features, momentum, filter_same_conference, filter_different_conference,
     filter_minimum_games, conference_delta, conference_vs_conference, sample_weights,
 ]

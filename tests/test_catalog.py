@@ -61,6 +61,82 @@ def test_record_brute_force(spark):
     assert got == want
 
 
+def r4(x):
+    return round(x * 1e4) / 1e4
+
+
+def sos_by_hand(games, lag):
+    """(game_id, team) -> mean of the last opponents' season records as of the game's date; and the games by (season, team)."""
+    of = collections.defaultdict(list)
+    for g in sorted(games, key=lambda g: (g.season, g.team, g.game_date, g.game_id)):
+        of[g.season, g.team].append(g)
+
+    def as_of(season, team, day):
+        before = [g.win for g in of[season, team] if g.game_date < day]
+        return round(sum(before) / len(before) * 1e9) if before else None
+
+    sos = {}
+    for (season, _), mine in of.items():
+        for i, g in enumerate(mine):
+            met = [p for o in mine[max(0, i - lag) : i] if (p := as_of(season, o.opp, g.game_date)) is not None]
+            sos[g.game_id, g.team] = r4(sum(met) / len(met) / 1e9) if met else None
+    return sos, of
+
+
+def near(got, want):
+    assert got.keys() == want.keys()
+    # A tie at the fourth decimal may fall to either side in another order of sums.
+    assert not [(k, got[k], want[k]) for k in want if (got[k] is None) != (want[k] is None) or got[k] is not None and abs(got[k] - want[k]) > 1.5e-4]
+
+
+SIDES = {"adjusted_last_season_record": (0, 1), "adjusted_last_season_home_record": (1,), "adjusted_last_season_away_record": (0,)}
+
+
+@pytest.mark.parametrize("name", SIDES)
+def test_adjusted_last_season_brute_force(spark, name):
+    sos, of = sos_by_hand(QUERIES["team_games"](spark, SF).collect(), 82)
+    p, last = {}, {}
+    for key, mine in of.items():
+        here = [g.win for g in mine if g.is_home in SIDES[name]]
+        known = [s for g in mine if (s := sos[g.game_id, g.team]) is not None]
+        if here:
+            p[key], last[key] = r4(sum(here) / len(here)), known[-1] if known else None
+    adjusted = {}
+    for season, team in p:
+        league = [last[k] for k in p if k[0] == season and last[k] is not None]
+        mean = sum(league) / len(league) if league else 0
+        adjusted[season, team] = p[season, team] * last[season, team] / mean if mean and last[season, team] is not None else None
+    before = lambda season: f"{int(season[:4]) - 1}/{season[2:4]}"
+    want = {(season, team): adjusted.get((before(season), team)) for season, team in p}
+    for key in [k for k, v in want.items() if v is None]:
+        others = [v for k, v in want.items() if k[0] == key[0] and adjusted.get((before(k[0]), k[1])) is not None]
+        want[key] = min(others) if others else None
+    near({(r.season, r.team): r[name] for r in QUERIES[name](spark, SF).collect()}, want)
+
+
+@pytest.mark.parametrize("name", ["game_difficulty", "gds_home", "gds_away"])
+def test_game_difficulty_brute_force(spark, name):
+    sos, of = sos_by_hand(QUERIES["team_games"](spark, SF).collect(), 82)
+    rows_ = [(i, g, mine) for mine in of.values() for i, g in enumerate(mine)]
+    by_day = collections.defaultdict(list)
+    for _, g, _ in rows_:
+        by_day[g.season, g.game_date].append(sos[g.game_id, g.team])
+    mean = {k: sum(x for x in v if x is not None) / n if (n := len([x for x in v if x is not None])) else 0 for k, v in by_day.items()}
+    quality = {}
+    for i, g, mine in rows_:
+        past, s, m = [x.win for x in mine[max(0, i - 82) : i]], sos[g.game_id, g.team], mean[g.season, g.game_date]
+        q = r4(sum(past) / len(past)) * s / m if past and s is not None and m else None
+        season = [x.win for x in mine[:i]]
+        quality[g.game_id, g.team] = q if q is not None else sum(season) / len(season) if season else None
+    want = {}
+    for _, g, _ in rows_:
+        q = quality[g.game_id, g.opp]
+        q = None if q is None else min(max(q, 0), 1)
+        want[g.game_id, g.team] = None if q is None else q * (1 + 0.1 * (1 - g.is_home)) if g.win else -(1 - q) * (1 + 0.1 * g.is_home)
+    want = {(g.game_id, g.team): want[g.game_id, g.team] for _, g, _ in rows_ if name == "game_difficulty" or g.is_home == (name == "gds_home")}
+    near({(r.game_id, r.team): r.gds for r in QUERIES[name](spark, SF).collect()}, want)
+
+
 def test_column_mapping_equals_oracle(spark, oracle):
     got, want = learned.QUERIES["column_mapping"](spark, SF).toPandas(), oracle.execute(learned.ORACLES["column_mapping"]).df()
     assert rows(got) == rows(want)
