@@ -25,7 +25,7 @@ games_view team_games dedupe_keep_latest dedupe_incremental next_slate analysis_
 schedule_parse record_rolling home_record_rolling away_record_rolling pts_diff_rolling home_pts_diff_rolling
 away_pts_diff_rolling season_avg_total_points norm_pts_diff_rolling home_norm_pts_diff_rolling away_norm_pts_diff_rolling streak
 cum_win_pct attendance_rolling rested_days days_home_road travel_distance strength_of_schedule
-sos_adjusted_record game_difficulty gds_home gds_away standings playoff_flags
+sos_adjusted_record sos_adjusted_home_record sos_adjusted_away_record game_difficulty gds_home gds_away standings playoff_flags
 wide_features
 """.split()
 )

@@ -70,7 +70,7 @@ SELECT {KEY}, {cols} FROM nm {side}"""
 
 
 def norm_pts_diff_rolling(d: Dialect) -> str:
-    return _norm_points(d, "", LAGS[:5])
+    return _norm_points(d, "", LAGS)
 
 
 def home_norm_pts_diff_rolling(d: Dialect) -> str:
@@ -205,27 +205,41 @@ sos AS (SELECT game_id, season, team, game_date, {cols} FROM looked GROUP BY gam
 
 
 def strength_of_schedule(d: Dialect) -> str:
-    return f"WITH {TEAM_GAMES}, {_sos_cte(d, (5, 13), 3)} SELECT * FROM sos"
+    return f"WITH {TEAM_GAMES}, {_sos_cte(d, LAGS, 3)} SELECT * FROM sos"
 
 
-def _sos_adj(d: Dialect, n: int) -> str:
-    rec = d.r(previous("win", n), 4)
-    mean = f"CAST(SUM(CAST(ROUND(sos_L{n} * 1e4) AS BIGINT)) OVER (PARTITION BY r.season, r.game_date) AS DOUBLE) / NULLIF(COUNT(sos_L{n}) OVER (PARTITION BY r.season, r.game_date), 0) / 1e4"
-    return f"""{_sos_cte(d, (n,), 1)},
-rec AS (SELECT {KEY}, opp, is_home, win, {rec} AS record FROM tg),
-adj AS (SELECT r.game_id, r.season, r.team, r.game_date, r.opp, r.is_home, r.win, {d.r(f'r.record * (s.sos_L{n} / NULLIF({mean}, 0))', 4)} AS sos_adj_record_L{n}
+def _sos_adj(d: Dialect, lags: tuple[int, ...], side: str = "") -> str:
+    rec = ", ".join(f"{d.r(previous('win', n), 4)} AS record_L{n}" for n in lags)
+    day = "OVER (PARTITION BY r.season, r.game_date)"
+    mean = "CAST(SUM(CAST(ROUND(sos_L{n} * 1e4) AS BIGINT)) {day} AS DOUBLE) / NULLIF(COUNT(sos_L{n}) {day}, 0) / 1e4"
+    cols = ", ".join(f"{d.r(f'r.record_L{n} * (s.sos_L{n} / NULLIF({mean.format(n=n, day=day)}, 0))', 4)} AS sos_adj_record_L{n}" for n in lags)
+    return f"""{_sos_cte(d, lags, 1)},
+rec AS (SELECT {KEY}, opp, is_home, win, {rec} FROM tg {side}),
+adj AS (SELECT r.game_id, r.season, r.team, r.game_date, r.opp, r.is_home, r.win, {cols}
         FROM rec r JOIN sos s ON r.game_id = s.game_id AND r.team = s.team AND r.season = s.season AND r.game_date = s.game_date)"""
 
 
+def _sos_adjusted(d: Dialect, side: str, lags: tuple[int, ...]) -> str:
+    return f"WITH {TEAM_GAMES}, {_sos_adj(d, lags, side)} SELECT {KEY}, {', '.join(f'sos_adj_record_L{n}' for n in lags)} FROM adj"
+
+
 def sos_adjusted_record(d: Dialect) -> str:
-    return f"WITH {TEAM_GAMES}, {_sos_adj(d, 13)} SELECT {KEY}, sos_adj_record_L13 FROM adj"
+    return _sos_adjusted(d, "", LAGS)
+
+
+def sos_adjusted_home_record(d: Dialect) -> str:
+    return _sos_adjusted(d, "WHERE is_home = 1", LOCATION_LAGS)
+
+
+def sos_adjusted_away_record(d: Dialect) -> str:
+    return _sos_adjusted(d, "WHERE is_home = 0", LOCATION_LAGS)
 
 
-def _gds(d: Dialect, side: str) -> str:
+def _gds(d: Dialect, side: str, lags: tuple[int, ...]) -> str:
     w = W
     raw = d.r("CASE WHEN win = 1 THEN q * (1 + 0.1 * (1 - is_home)) ELSE -(1 - q) * (1 + 0.1 * is_home) END", 4)
-    cols = ", ".join(f"{d.r(previous('units', n, w) + ' / 1e4', 4)} AS gds_L{n}" for n in (3, 5, 13))
-    return f"""WITH {TEAM_GAMES}, {_sos_adj(d, SEASON)},
+    cols = ", ".join(f"{d.r(previous('units', n, w) + ' / 1e4', 4)} AS gds_L{n}" for n in lags)
+    return f"""WITH {TEAM_GAMES}, {_sos_adj(d, (SEASON,))},
 prior AS (SELECT game_id, team, CAST({before('win')} AS DOUBLE) / NULLIF(ROW_NUMBER() OVER ({W}) - 1, 0) AS pct FROM tg),
 qq AS (SELECT a.*, COALESCE(o.sos_adj_record_L{SEASON}, p.pct) AS q0 FROM adj a
        LEFT JOIN adj o ON o.game_id = a.game_id AND o.team = a.opp LEFT JOIN prior p ON p.game_id = a.game_id AND p.team = a.opp),
@@ -235,15 +249,15 @@ SELECT {KEY}, {d.r('units / 1e4', 4)} AS gds, {cols} FROM g"""
 
 
 def game_difficulty(d: Dialect) -> str:
-    return _gds(d, "")
+    return _gds(d, "", LAGS[1:])
 
 
 def gds_home(d: Dialect) -> str:
-    return _gds(d, "WHERE is_home = 1")
+    return _gds(d, "WHERE is_home = 1", LOCATION_LAGS)
 
 
 def gds_away(d: Dialect) -> str:
-    return _gds(d, "WHERE is_home = 0")
+    return _gds(d, "WHERE is_home = 0", LOCATION_LAGS)
 
 
 def _last_season(d: Dialect, side: str, name: str) -> str:
@@ -422,6 +436,7 @@ FEATURES = [
     record_rolling, home_record_rolling, away_record_rolling, pts_diff_rolling, home_pts_diff_rolling, away_pts_diff_rolling, season_avg_total_points,
     norm_pts_diff_rolling, home_norm_pts_diff_rolling, away_norm_pts_diff_rolling, streak, cum_win_pct, centered_home_win_ratio, attendance_rolling, season_spine,
     east_west_record, east_record_at_east, west_record_at_west, rested_days, days_home_road, travel_distance, strength_of_schedule, sos_adjusted_record,
+    sos_adjusted_home_record, sos_adjusted_away_record,
     game_difficulty, gds_home, gds_away, last_season_record, last_season_home_record, last_season_away_record, adjusted_last_season_record,
     adjusted_last_season_home_record, adjusted_last_season_away_record, standings,
     playoff_flags, h2h_records, games_remaining, wide_features, delta_features, momentum, filter_same_conference, filter_different_conference,

@@ -137,6 +137,24 @@ def test_game_difficulty_brute_force(spark, name):
     near({(r.game_id, r.team): r.gds for r in QUERIES[name](spark, SF).collect()}, want)
 
 
+WINDOWS = {
+    "norm_pts_diff_rolling": ("norm_pts_diff_avg", (1, 3, 5, 8, 13, 21, 34, 55, 82)),
+    "strength_of_schedule": ("sos", (1, 3, 5, 8, 13, 21, 34, 55, 82)),
+    "sos_adjusted_record": ("sos_adj_record", (1, 3, 5, 8, 13, 21, 34, 55, 82)),
+    "sos_adjusted_home_record": ("sos_adj_record", (5, 10, 20, 41)),
+    "sos_adjusted_away_record": ("sos_adj_record", (5, 10, 20, 41)),
+    "game_difficulty": ("gds", (3, 5, 8, 13, 21, 34, 55, 82)),
+    "gds_home": ("gds", (5, 10, 20, 41)),
+    "gds_away": ("gds", (5, 10, 20, 41)),
+}
+
+
+@pytest.mark.parametrize("name", WINDOWS)
+def test_all_windows_of_the_reference(spark, name):
+    prefix, lags = WINDOWS[name]
+    assert [c for c in QUERIES[name](spark, SF).columns if "_L" in c] == [f"{prefix}_L{n}" for n in lags]
+
+
 def test_column_mapping_equals_oracle(spark, oracle):
     got, want = learned.QUERIES["column_mapping"](spark, SF).toPandas(), oracle.execute(learned.ORACLES["column_mapping"]).df()
     assert rows(got) == rows(want)
