@@ -22,35 +22,47 @@ _REPLICA_BITS = 2
 _WORD_END = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a key of their own, ``row``, that stays as it is however often they are read."""
+    return c.materialise(docs.select(*_COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the lexicon rejects go; the others stay as they are."""
+    """Rows whose text the lexicon rejects go; the others stay as they are."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = F.coalesce(c.crc32_of(F.col("doc_id")) % 5 == 0, F.lit(False))
-    toxic = score_toxicity(docs, labels, learn=~held_out).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti").select(*_COLUMNS)
+    # A score follows from the text alone, so the text's digest is key enough.
+    digested = docs.withColumn("key", F.md5(F.coalesce("text", F.lit(""))))
+    toxic = score_toxicity(digested, labels, learn=~held_out, key_col="key").filter("predicted = 1").select("key").distinct()
+    return digested.join(toxic, "key", "left_anti").select(*_COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that three documents or more share stay in the largest doc_id only."""
-    kept = line_dedup(docs, with_text=True).filter("n_dropped > 0").select("doc_id", "kept_text")
-    text = F.coalesce("kept_text", "text")
-    joined = docs.join(kept, "doc_id", "left").withColumn("text", text)
+    # What stays of a row follows from its doc_id and text, so these are key enough.
+    kept = line_dedup(docs, with_text=True).filter("n_dropped > 0").select(F.col("doc_id").alias("k_id"), "text_md5", "kept_text").dropDuplicates(["k_id", "text_md5"])
+    digested = docs.withColumn("md5", F.md5(F.coalesce("text", F.lit(""))))
+    joined = digested.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("md5") == F.col("text_md5")), "left").withColumn("text", F.coalesce("kept_text", "text"))
     return joined.withColumn("n_chars", F.length("text").cast("long")).select(*_COLUMNS)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest doc_id stays."""
-    groups = ngram_components(docs).filter("doc_id = component_id").select("doc_id")
-    return docs.join(groups, "doc_id", "left_semi").select(*_COLUMNS)
+    """Of each group of near duplicates one row of the smallest doc_id stays (a null one is above all others)."""
+    keyed = _keyed(docs)
+    groups = ngram_components(keyed, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    kept = groups.join(keyed.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(order).alias("first")).select("first.row")
+    return keyed.join(kept, "row", "left_semi").select(*_COLUMNS)
 
 
 def to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; the last copy of a document may be cut to the words taken.
 
-    The first copy keeps its doc_id; others get -(doc_id * 4 + copy) - 1, which no document has.
+    The first copy keeps its doc_id; others get -(doc_id * 4 + copy) - 1, which no document has.  A null doc_id stays null.
     """
-    taken = mix(docs).filter("taken > 0").select("doc_id", "size", "taken")
-    copies = docs.join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)))
+    keyed = _keyed(docs)
+    taken = mix(keyed, key_col="row").filter("taken > 0").select(F.col("key").alias("row"), "size", "taken")
+    copies = keyed.join(taken, "row").withColumn("copy", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)))
     left = F.col("taken") - F.col("copy") * F.col("size")
     # Split where words end: a repeated group would recurse once per word.
     cut = F.array_join(F.slice(F.split("text", _WORD_END), F.lit(1), left.cast("int")), "")

@@ -14,6 +14,7 @@ result is one compressed keep bitmap per document, not text.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,7 +85,8 @@ def line_dedup(
 
     Returns one row per input row: ``doc_id``, ``n_lines``, ``n_dropped``,
     ``keep_bitmap`` (zstd of one bit per line, first line in the lowest bit, set
-    if kept) and, with ``with_text``, ``kept_text``.
+    if kept) and, with ``with_text``, ``kept_text`` and ``text_md5`` (hex, of the
+    text as it came; a null one's is that of the empty text).
 
     * Null or empty text is one empty line, which is kept.
     * Rows of one doc_id count as one document, and if it is the largest all of
@@ -134,13 +136,13 @@ def line_dedup(
                 yield _result(ids, lines, gone, with_text)
 
     answers = c.decide_buckets(chunks.mapInArrow(send, c.PROBE_SCHEMA), stream)
-    schema = "doc_id long, n_lines long, n_dropped long, keep_bitmap binary" + ", kept_text string" * with_text
+    schema = "doc_id long, n_lines long, n_dropped long, keep_bitmap binary" + ", kept_text string, text_md5 string" * with_text
     return c.with_replies(chunks, answers, "ranges").mapInArrow(apply, schema)
 
 
 def _result(ids: pa.Array, docs: list[list[bytes]], gone: np.ndarray, with_text: bool) -> pa.RecordBatch:
     squeeze = zstandard.ZstdCompressor(level=1).compress
-    dropped, bitmaps, texts, begin = [], [], [], 0
+    dropped, bitmaps, texts, digests, begin = [], [], [], [], 0
     for lines in docs:
         mask = gone[begin : begin + len(lines)]
         begin += len(lines)
@@ -149,11 +151,12 @@ def _result(ids: pa.Array, docs: list[list[bytes]], gone: np.ndarray, with_text:
         if with_text:
             kept = [x for x, g in zip(lines, mask, strict=True) if not g] if dropped[-1] else lines
             texts.append(b"\n".join(kept).decode("utf-8", "surrogatepass"))
+            digests.append(hashlib.md5(b"\n".join(lines)).hexdigest())
     columns = [ids, pa.array([len(d) for d in docs], pa.int64()), pa.array(dropped, pa.int64()), pa.array(bitmaps, pa.binary())]
     names = ["doc_id", "n_lines", "n_dropped", "keep_bitmap"]
     if with_text:
-        columns.append(pa.array(texts, pa.string()))
-        names.append("kept_text")
+        columns += [pa.array(texts, pa.string()), pa.array(digests, pa.string())]
+        names += ["kept_text", "text_md5"]
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 

@@ -115,13 +115,15 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    key_col: str | None = None,
 ) -> DataFrame:
     """How much of each document a mix of the sources takes.
 
     Returns one row per input row: ``doc_id``, ``source``, ``size`` (words),
     ``source_size``, ``target`` (its source's), ``rate``, ``copies`` (whole
     copies) and ``taken`` (words: copies * size, but for one document per
-    source whose last copy is cut so that the source meets its target).
+    source whose last copy is cut so that the source meets its target); with
+    ``key_col`` also ``key``, that column, which decides nothing.
 
     * Null or empty text has size 0 and is never taken.  A source of size 0 has
       target 0.  A null source is a source of its own, the last.
@@ -135,8 +137,10 @@ def mix(
             F.col(source_col).cast("string").alias("source"),
             word_count(F.col(text_col)).alias("size"),
             F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("tie"),
+            *([F.col(key_col).alias("key")] if key_col else []),
         )
     )
+    carried = ["key"] if key_col else []
     histogram = c.materialise(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
     totals = histogram.groupBy("source").agg(
         F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("sized")
@@ -166,7 +170,7 @@ def mix(
         F.least(F.lit(most), F.expr("cast(run div 1000000000 - (run - unit) div 1000000000 as int)")),
     )
     rounded = c.materialise(
-        rounded.select("doc_id", "source", "size", "tie", F.col("p_source_size").alias("source_size"), F.col("p_target").alias("target"), "rate", "copies")
+        rounded.select(*carried, "doc_id", "source", "size", "tie", F.col("p_source_size").alias("source_size"), F.col("p_target").alias("target"), "rate", "copies")
     )
     # What rounding left of a source is added to or cut from single documents, the largest first.
     gaps = (
@@ -180,7 +184,7 @@ def mix(
     fix = _closing(roomy)
     closed = roomy.join(fix, F.col("source").eqNullSafe(F.col("f_source")) & (F.col("room") == F.col("f_room")) & (F.col("tie") == F.col("f_tie")) & F.col("doc_id").eqNullSafe(F.col("f_doc_id")), "left")
     taken = F.col("copies") * F.col("size") + F.coalesce(F.col("f_change"), F.lit(0))
-    return closed.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", taken.cast("long").alias("taken"))
+    return closed.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", taken.cast("long").alias("taken"), *carried)
 
 
 def _closing(roomy: DataFrame, most_docs: int = 64) -> DataFrame:

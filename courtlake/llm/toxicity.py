@@ -243,18 +243,21 @@ def score_toxicity(
     threshold: float = THRESHOLD,
     id_col: str = "doc_id",
     text_col: str = "text",
+    key_col: str | None = None,
 ) -> DataFrame:
     """Toxicity of every document, learnt from ``labels(doc_id, toxic)``.
 
     ``learn`` says, in terms of ``doc_id``, which labels may be learnt from
     (all by default).  Returns one row per input row: ``doc_id``, ``score``
-    (0 to 1, higher: toxic likelier) and ``predicted`` (score >= threshold).
+    (0 to 1, higher: toxic likelier) and ``predicted`` (score >= threshold);
+    with ``key_col`` also ``key``, that column as text.
 
     * Null and empty texts have no hits and score as any text without hits.
     * Without toxic and clean labels to learn from, nothing is a term and every
       text scores low.  Repeated rows each get a row; null ids stay null; other
       columns are ignored.  Whole texts are scanned, however long.
     """
+    carried = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.col(key_col).cast("string").alias("key")] if key_col else []))
     docs = c.id_and_text(docs, id_col, text_col)
     terms, exceptions, curve = learn_lexicon(docs, labelled_rows(labels, "toxic", F.lit(True) if learn is None else learn), per_class)
 
@@ -267,6 +270,7 @@ def score_toxicity(
                 weight = weigh(folded, a)
                 x = features(weight, folded.count(" "))
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(x, curve)))))))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.float64())], names=["doc_id", "score"])
+            keys = [b.column("key")] if key_col else []
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.float64()), *keys], names=["doc_id", "score", "key"][: 2 + len(keys)])
 
-    return docs.mapInArrow(score, "doc_id long, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return carried.mapInArrow(score, "doc_id long, score double" + ", key string" * bool(key_col)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

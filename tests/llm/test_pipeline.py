@@ -25,3 +25,41 @@ def test_mixing_cuts_whole_words_of_very_long_texts(spark):
             want[i if copy == 0 else -(i << 2) - copy - 1] = texts[i] if left >= size else cut_after(texts[i], left)
     assert taken[1][1] % taken[1][0]
     assert got == want
+
+
+def words(n, of):
+    return " ".join(f"{of}{i}" for i in range(n))
+
+
+def test_near_duplicates_leave_one_row_of_a_group(spark):
+    a, b, d, e = (words(40, x) for x in "abde")
+    # 1 repeats; 2 is 1's text under another id; 3 holds a text of its own and 1's; rows without an id are documents too.
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, a), (None, d), (None, e), (None, e), (4, e)]
+    out = corpus_pipeline.one_of_each(spark, spark.createDataFrame([(i, t, "en", "web", 0) for i, t in rows], SCHEMA), "")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out.collect()) == sorted([(1, a), (3, b), (0, d), (4, e)])
+
+
+def test_line_dedup_does_not_multiply_repeats(spark):
+    shared = "a line that many documents share\n"
+    rows = [(1, shared + "x"), (1, shared + "x"), (1, shared + "y"), (None, shared + "z"), (None, shared + "z"), (2, shared), (3, shared), (4, None)]
+    out = corpus_pipeline.drop_lines(spark, spark.createDataFrame([(i, t, "en", "web", 0) for i, t in rows], SCHEMA), "")
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect())
+    assert got == sorted([(1, "x"), (1, "x"), (1, "y"), (0, "z"), (0, "z"), (2, ""), (3, shared), (4, "")])
+
+
+def test_mixing_keeps_rows_apart(spark):
+    rows = [(1, words(30, "a")), (1, words(30, "a")), (None, words(20, "b")), (None, words(25, "c")), *((i, words(30 + i, "d")) for i in range(2, 40))]
+    docs = spark.createDataFrame([(i, t, "en", "web", 0) for i, t in rows], SCHEMA)
+    want = sum(r["taken"] for r in corpus_pipeline.mix(docs).collect())
+    out = [r["text"] for r in corpus_pipeline.to_targets(spark, docs, "").collect()]
+    assert sum(len(t.split()) for t in out) == want
+    assert any(t.startswith(("b0", "c0")) for t in out)
+
+
+def test_toxic_rows_go_with_and_without_an_id(spark, tmp_path):
+    docs = [(i, words(20, "w") + (" idiot" if i % 4 == 0 else " fine"), "en", "web", 0) for i in range(400)]
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    extra = [(None, "you idiot " + words(20, "w"), "en", "web", 0), (None, words(20, "w"), "en", "web", 0), (1, "such an idiot " + words(20, "w"), "en", "web", 0)]
+    out = corpus_pipeline.drop_toxic(spark, spark.createDataFrame(docs + extra, SCHEMA), str(tmp_path))
+    got = [(r["doc_id"], "idiot" in r["text"]) for r in out.collect()]
+    assert len(got) == 301 and not any(bad for _, bad in got) and [i for i, _ in got].count(None) == 1
