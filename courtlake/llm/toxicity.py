@@ -2,8 +2,9 @@
 
 Texts are folded first: compatibility forms and accents, look-alike letters of
 other scripts, digits and signs that stand for letters inside words; i and l
-become one letter, since 1 stands for both.  The lexicon's terms are word
-beginnings, learnt from labelled documents by sequential covering: the one whose
+become one letter, since 1 stands for both.  Letters of scripts without look-alikes
+stay, and runs of scripts that put no spaces become pairs of letters.  The lexicon's
+terms are word beginnings and whole words, learnt from labelled documents by sequential covering: the one whose
 excess in the toxic documents not yet explained is largest is taken, while that
 excess is beyond chance among all candidates.  Words that hold a term
 but are mostly seen in clean documents, alone or with a neighbour, are learnt
@@ -47,28 +48,50 @@ HOMOGLYPHS = {
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "l": "i", "|": "i"}
 _HOMOGLYPHS = str.maketrans(HOMOGLYPHS)
 _BYTES = bytes(
-    ord(SUBSTITUTES[chr(b)]) if chr(b) in SUBSTITUTES else b if 97 <= b <= 122 else 32 for b in range(256)
+    ord(SUBSTITUTES[chr(b)]) if chr(b) in SUBSTITUTES else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 _SIGNS = re.compile(rb"[0-9@$|]")
 # Numbers, and signs that do not begin or break up a word, are not letters.
-_NOT_LETTERS = re.compile(rb"(?<![a-z0-9@$])[0-9@$]+(?![a-z0-9@$])|[@$]+(?![a-z0-9@$])|(?<![a-z])\|+|\|+(?![a-z])|[0-9]*[26][0-9]*(?![a-z])")
+_NOT_LETTERS = re.compile(
+    rb"(?<![a-z\x80-\xff0-9@$])[0-9@$]+(?![a-z\x80-\xff0-9@$])|[@$]+(?![a-z\x80-\xff0-9@$])|(?<![a-z\x80-\xff])\|+|\|+(?![a-z\x80-\xff])|[0-9]*[26][0-9]*(?![a-z\x80-\xff])"
+)
+_FOREIGN = re.compile(r"[^\x00-\x7f]+")
+#: Scripts without spaces: Thai, Lao, Myanmar, Khmer, kana, ideographs.
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
+
+
+def _letters(run: re.Match) -> str:
+    """Letters, and the vowel signs of Indic scripts and their neighbours; accents, points and signs go."""
+    return "".join(ch for ch in run[0] if ch.isalpha() or "\u0900" <= ch <= "\u1aaf" and unicodedata.category(ch) in ("Mn", "Mc"))
+
+
+def _pairs(run: re.Match) -> str:
+    """Every two letters that follow each other, as words."""
+    x = run[0]
+    return " " + (" ".join(x[i : i + 2] for i in range(len(x) - 1)) or x) + " "
 
 
 def fold(text: str) -> str:
-    """Words of a-z, each after one or more spaces; ends with a space."""
+    """Words of letters, each after one space; ends with a space."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text).lower().translate(_HOMOGLYPHS)
-        raw = text.encode("ascii", "ignore")
+        text = _FOREIGN.sub(_letters, unicodedata.normalize("NFKD", text).lower().translate(_HOMOGLYPHS))
+        raw = _UNSPACED.sub(_pairs, text).encode("utf-8", "ignore")
     else:
         raw = text.encode()
     raw = raw.lower().replace(b"'", b"")
     if _SIGNS.search(raw):
         raw = _NOT_LETTERS.sub(b" ", raw)
-    return (b" " + raw.translate(_BYTES) + b" ").decode("ascii")
+    return " " + "".join(f"{w} " for w in raw.translate(_BYTES).decode().split())
+
+
+def _candidates(word: str) -> list[str]:
+    """A word's beginnings and, with a space at its end, the whole word; of a word longer than the longest beginning only those."""
+    whole = [word + " "] if len(word) <= LONGEST else []
+    return whole + [word[:n] for n in range(SHORTEST, min(len(word), LONGEST) + 1)]
 
 
 def _beginnings(words: set[str]) -> set[str]:
-    return {w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)}
+    return {x for w in words for x in _candidates(w)}
 
 
 def excess(toxic: float, clean: float, share: float) -> float:
@@ -97,7 +120,8 @@ def cover(candidates: list[tuple[str, int, int]], held: list[np.ndarray], toxic:
     left = np.array([len(x) for x in of_doc], np.int64)
     open_docs, found = np.ones(len(held), bool), {}
     clean_of = np.array([x[2] for x in candidates], np.float64)
-    length = np.array([len(x[0]) for x in candidates])
+    # Where a whole word explains no more than a beginning does, the beginning also finds its other forms.
+    length = np.array([0 if x[0].endswith(" ") else len(x[0]) for x in candidates])
     while n:
         p = left / np.maximum(left + clean_of, 1)
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -221,7 +245,7 @@ def _learn_exceptions(texts: DataFrame, terms: dict[str, float]) -> list[str]:
             for t, y in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
                 words, here = fold(t or "").split(), set()
                 for i, w in enumerate(words):
-                    if any(w[:n] in terms for n in range(SHORTEST, min(len(w), LONGEST) + 1)):
+                    if any(x in terms for x in _candidates(w)):
                         here.update({w, " ".join(words[max(0, i - 1) : i + 1]), " ".join(words[i : i + 2])})
                 found[y].update(here)
         names = sorted(found[0].keys() | found[1].keys())
@@ -268,7 +292,7 @@ def score_toxicity(
             for t in b.column("text").to_pylist():
                 folded = fold(t or "")
                 weight = weigh(folded, a)
-                x = features(weight, folded.count(" "))
+                x = features(weight, len(folded.split()))
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(x, curve)))))))
             keys = [b.column("key")] if key_col else []
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.float64()), *keys], names=["doc_id", "score", "key"][: 2 + len(keys)])

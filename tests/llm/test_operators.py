@@ -315,3 +315,20 @@ def test_toxicity(spark):
 def test_fold():
     assert fold("1d10t").strip() == "idiot" and fold("ｉｄｉｏｔ").strip() == "idiot" and fold("scüm").strip() == "scum"
     assert fold("in 2024 $5").split() == ["in"]
+
+
+@pytest.mark.parametrize("bad,good", [("zog", "zogu"), ("дурак", "мир"), ("笨蛋", "早安"), ("احمق", "سلام")])
+def test_toxicity_of_short_words_and_other_scripts(spark, bad, good):
+    docs = [(i, f"{prose(12)} {bad if i % 4 == 0 else good} {prose(12)}", int(i % 4 == 0)) for i in range(400)]
+    table = spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in docs], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in score_toxicity(table, labels, learn=F.col("doc_id") % 3 != 0).collect()}
+    assert all(got[i] == y for i, _, y in docs)
+
+
+def test_toxicity_does_not_depend_on_padding(spark):
+    docs, labels = labelled(spark)
+    text = "idiot " + prose(20)
+    padded = spark.createDataFrame([(2000, text), (2001, text.replace(" ", "   \n--- 123 !!! ") + " " * 5000)], docs.schema)
+    got = {r.doc_id: r.score for r in score_toxicity(docs.unionByName(padded), labels, learn=F.col("doc_id") < 1000).collect()}
+    assert got[2000] == got[2001]
