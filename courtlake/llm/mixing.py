@@ -170,7 +170,9 @@ def mix(
         F.least(F.lit(most), F.expr("cast(run div 1000000000 - (run - unit) div 1000000000 as int)")),
     )
     rounded = c.materialise(
-        rounded.select(*carried, "doc_id", "source", "size", "tie", F.col("p_source_size").alias("source_size"), F.col("p_target").alias("target"), "rate", "copies")
+        rounded.select(*carried, "doc_id", "source", "size", "tie", F.col("p_source_size").alias("source_size"), F.col("p_target").alias("target"), "rate", "copies").withColumn(
+            "row", F.monotonically_increasing_id()
+        )
     )
     # What rounding left of a source is added to or cut from single documents, the largest first.
     gaps = (
@@ -182,28 +184,37 @@ def mix(
     room = F.when(F.col("gap") > 0, most * F.col("size") - F.col("copies") * F.col("size")).otherwise(F.col("copies") * F.col("size"))
     roomy = asked.withColumn("room", room)
     fix = _closing(roomy)
-    closed = roomy.join(fix, F.col("source").eqNullSafe(F.col("f_source")) & (F.col("room") == F.col("f_room")) & (F.col("tie") == F.col("f_tie")) & F.col("doc_id").eqNullSafe(F.col("f_doc_id")), "left")
+    closed = roomy.join(fix, F.col("row") == F.col("f_row"), "left")
     taken = F.col("copies") * F.col("size") + F.coalesce(F.col("f_change"), F.lit(0))
     return closed.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", taken.cast("long").alias("taken"), *carried)
 
 
-def _closing(roomy: DataFrame, most_docs: int = 64) -> DataFrame:
-    """(source, room, tie, doc_id) of the documents that close a source's gap, with the change of each.
+def _closing(roomy: DataFrame) -> DataFrame:
+    """(row, change) of the documents that close a source's gap.
 
-    Rounding leaves about one document's words per range, so the roomiest
-    ``most_docs`` of a source nearly always do; with repeated rows each changes
-    alike, so such a set counts once for each copy.
+    The roomiest documents change by all their room until the gap is closed, however many that takes.  Running sums
+    go over a source's rooms, then over ranges of hashes at the room where the gap ends, then over the rows of
+    that one range, so no source is one task.
     """
-    same = roomy.filter("gap <> 0 and room > 0").groupBy("source", "gap", "room", "tie", "doc_id").agg(F.count("*").alias("same"))
-    rank = Window.partitionBy("source").orderBy(F.col("room").desc(), "tie", "doc_id")
-    top = same.withColumn("k", F.row_number().over(rank)).filter(F.col("k") <= most_docs)
-    before = F.coalesce(F.sum(F.col("room") * F.col("same")).over(rank.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = F.greatest(F.lit(0), F.abs("gap") - before)
-    change = F.least(F.col("room"), F.expr("left_over div same")) * F.signum("gap").cast("long")
-    return (
-        top.withColumn("left_over", left)
-        .select(
-            F.col("source").alias("f_source"), F.col("room").alias("f_room"), F.col("tie").alias("f_tie"), F.col("doc_id").alias("f_doc_id"), change.alias("f_change")
-        )
-        .filter("f_change <> 0")
-    )
+    key = ["source", "gap", "room", "tie", "doc_id", "row"]
+    rows = roomy.filter("gap <> 0 and room > 0").select(*key, F.shiftright("tie", 52).alias("span"))
+
+    def running(table: DataFrame, by: list[str], order: list[Column], need: Column) -> DataFrame:
+        """How much of what is needed each row of ``table`` finds still open (``open``)."""
+        before = F.coalesce(F.sum("total").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return table.withColumn("open", need - before).filter("open > 0")
+
+    total = F.sum("room").alias("total")
+    rooms = running(rows.groupBy("source", "gap", "room").agg(total), ["source"], [F.col("room").desc()], F.abs("gap"))
+    # All of a room, or of a range of hashes, goes where its total fits into what is open; where it does not, its rows are looked at.
+    rooms = c.materialise(rooms.select(F.col("source").alias("r_source"), F.col("room").alias("r_room"), F.col("open").alias("r_open"), (F.col("total") <= F.col("open")).alias("r_whole")))
+    near = rows.join(rooms, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("room") == F.col("r_room")))
+    spans = running(near.filter("not r_whole").groupBy("source", "room", "span", "r_open").agg(total), ["source"], [F.col("span")], F.col("r_open"))
+    spans = c.materialise(spans.select(F.col("source").alias("s_source"), F.col("span").alias("s_span"), F.col("open").alias("s_open"), (F.col("total") <= F.col("open")).alias("s_whole")))
+    joined = near.join(spans, F.col("source").eqNullSafe(F.col("s_source")) & ~F.col("r_whole") & (F.col("span") == F.col("s_span")), "left").filter("r_whole or s_span is not null")
+    last = joined.filter("not r_whole and not s_whole").select(*key, "s_open", F.col("room").alias("total"))
+    last = running(last, ["source"], [F.col("tie"), F.col("doc_id"), F.col("row")], F.col("s_open"))
+    sign = F.signum("gap").cast("long")
+    whole = joined.filter("r_whole or s_whole").select("row", (F.col("room") * sign).alias("change"))
+    closing = whole.unionByName(last.select("row", (F.least("room", "open") * sign).alias("change")))
+    return closing.select(F.col("row").alias("f_row"), F.col("change").alias("f_change"))

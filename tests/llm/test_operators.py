@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from courtlake.llm import licenses
+from courtlake.llm import licenses, mixing
 from courtlake.llm.embedding_dedup import near_vectors
 from courtlake.llm.license_scan import scan_licenses
 from courtlake.llm.licenses import FULL_TEXTS
@@ -332,3 +332,12 @@ def test_toxicity_does_not_depend_on_padding(spark):
     padded = spark.createDataFrame([(2000, text), (2001, text.replace(" ", "   \n--- 123 !!! ") + " " * 5000)], docs.schema)
     got = {r.doc_id: r.score for r in score_toxicity(docs.unionByName(padded), labels, learn=F.col("doc_id") < 1000).collect()}
     assert got[2000] == got[2001]
+
+
+@pytest.mark.parametrize("gap", [1, 37, 700, -955, 4001])
+def test_mixing_closes_gaps_of_any_size(spark, gap):
+    rows = [("a", gap, room, 0, int(RNG.integers(-(2**63), 2**63)) if i % 3 else 9, i if i % 3 else 0, i) for i, room in enumerate([5] * 600 + [7] * 200)]
+    roomy = spark.createDataFrame(rows, "source string, gap long, room long, size long, tie long, doc_id long, row long")
+    changed = {r.f_row: r.f_change for r in mixing._closing(roomy).collect()}
+    assert sum(changed.values()) == gap
+    assert all(abs(x) <= rows[i][2] for i, x in changed.items()) and sum(abs(x) < rows[i][2] for i, x in changed.items()) <= 1
