@@ -48,7 +48,7 @@ class Terms(dict):
             self.clear()
         text = word.decode("utf-8", "replace")
         h = xxhash.xxh3_64_intdigest(text.lower().encode())
-        s = xxhash.xxh3_64_intdigest(shape(text[:64]).encode()) % SHAPE_TERMS
+        s = xxhash.xxh3_64_intdigest(shape(text).encode()) % SHAPE_TERMS
         value = self[word] = (h >> 40) % WORD_TERMS | s << 16 | (h & 0xFFFFFFFF) << 32
         return value
 

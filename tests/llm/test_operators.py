@@ -18,7 +18,7 @@ from courtlake.llm.line_dedup import apply_bitmap, kept_digest, line_dedup
 from courtlake.llm.mixing import mix
 from courtlake.llm.ngram_join import ngram_components, tree_links
 from courtlake.llm.packing import Encoder, default_tokenizer, pack, plan_sweeps
-from courtlake.llm.quality import score_quality
+from courtlake.llm.quality import Terms, score_quality
 from courtlake.llm.substring_dedup import substring_dedup
 from courtlake.llm.topk_search import top_k
 from courtlake.llm.toxicity import fold, score_toxicity
@@ -341,3 +341,8 @@ def test_mixing_closes_gaps_of_any_size(spark, gap):
     changed = {r.f_row: r.f_change for r in mixing._closing(roomy).collect()}
     assert sum(changed.values()) == gap
     assert all(abs(x) <= rows[i][2] for i, x in changed.items()) and sum(abs(x) < rows[i][2] for i, x in changed.items()) <= 1
+
+
+def test_quality_shape_is_that_of_the_whole_word():
+    shape_of = lambda word: Terms()[word.encode()] >> 16 & 0xFFFF
+    assert shape_of("字" * 64 + "!!!0A") != shape_of("字" * 64) == shape_of("字" * 5000)
