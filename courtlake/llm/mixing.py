@@ -6,9 +6,10 @@ relative entropy, to taking half of what may be taken.  The convex dual has one
 multiplier per source, and a document's rate is its exponential tilt
 ``most / (1 + exp(-multiplier * size / mean size))``.  Newton's steps, kept
 inside a shrinking bracket, are grouped sums over the (source, size) histogram
-of the corpus.  Rates are rounded into copies by running sums along the sizes,
-so a source's rounding error never exceeds one document, and one document's
-last copy is cut to close it.
+of the corpus.  Rates are rounded into copies by running sums along the sizes
+within hash ranges of a source, so rounding leaves a range at most one document
+off; what that leaves of a source's target is added to or cut from its roomiest
+documents, however many that takes.
 """
 
 from __future__ import annotations
@@ -28,31 +29,42 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _code_point_rank(sources: DataFrame) -> DataFrame:
+    """``sources`` with ``place``, from 0, by code point, a null source last.
+
+    The sort deals ranges over the tasks; a source's place is its place in its range plus the sizes of the ranges
+    before it, so however many sources there are, one task sees no more than a row per range.
+    """
+    keys = sources.select("source").orderBy(F.col("source").isNull(), F.encode("source", "utf-8"))
+    keys = c.materialise(keys.select("source", F.monotonically_increasing_id().alias("at")))
+    ranges = keys.groupBy(F.shiftright("at", 33).alias("range")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select(F.col("range").alias("r_range"), before.alias("r_before"))
+    placed = keys.join(F.broadcast(ranges), F.shiftright("at", 33) == F.col("r_range"))  # a row per task of the sort
+    return placed.select(F.col("source").alias("s"), (F.col("at").bitwiseAND((1 << 33) - 1) + F.col("r_before")).alias("place"))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """(source, source_size) -> target: ``share`` of all sizes by weight, stopped at ``most`` times the source.
 
-    Raising the common level until the targets sum to the share is solved
-    exactly: sources stop in the order of size / weight, so the level follows
-    from running sums over the sources (one row each).
+    The targets are ``min(most * size, level * weight)`` for the common level at which they sum to the share.  Newton's
+    steps on that piecewise linear sum find it: every step is one grouped sum, stops the sources that the level lifts
+    above their cap for good, and the steps end when none is left to stop.
     """
-    w = Window.orderBy(F.col("source").isNull(), F.encode("source", "utf-8"))
-    k = F.row_number().over(w) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (k % len(weights) + 1).cast("int")).cast("double")
-    ranked = sizes.select("source", "source_size", weight.alias("weight")).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    up = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
-    whole = Window.partitionBy()
-    before = up.rowsBetween(Window.unboundedPreceding, -1)
-    levels = ranked.withColumn("share", F.sum("source_size").over(whole) * F.lit(float(share))).withColumn(
-        "level",
-        (F.col("share") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))),
-    )
-    # A source stops when the level, with all before it stopped, would lift it above its cap.  From the first
-    # that does not stop, none does, and its level (the largest among those) is the common one.
-    free = F.col("level") * F.col("weight") <= F.col("cap")
-    level = F.max(F.when(free, F.col("level"))).over(whole)
-    target = F.when(free, F.least(level * F.col("weight"), "cap")).otherwise(F.col("cap"))
-    return levels.withColumn("target", target).select("source", "source_size", F.greatest("target", F.lit(0.0)).alias("target"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("long")
+    ranked = sizes.join(_code_point_rank(sizes), F.col("source").eqNullSafe(F.col("s")))
+    ranked = c.materialise(ranked.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * most).alias("cap")))
+    goal = (ranked.agg(F.sum("source_size")).first()[0] or 0) * share
+    level = None
+    while True:
+        free = F.lit(True) if level is None else F.col("weight") * F.lit(level) <= F.col("cap")
+        at = ranked.agg(F.sum(F.when(free, F.col("weight"))).alias("w"), F.sum(F.when(~free, F.col("cap"))).alias("stopped")).first()
+        found = (goal - (at["stopped"] or 0)) / at["w"] if at["w"] else level
+        if found is None or found == level or (level is not None and found < level):
+            break
+        level = found
+    target = F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(level or 0.0))
+    return ranked.select("source", "source_size", F.greatest(target, F.lit(0.0)).alias("target"))
 
 
 def _exact_sum(x: Column) -> Column:
@@ -66,7 +78,8 @@ def _multipliers(histogram: DataFrame, targets: DataFrame, most: int, rounds: in
         targets.select(
             "source",
             "target",
-            (F.col("source_size") / F.col("sized")).alias("mean"),
+            # A source without words has no mean; its target is 0, so its rates are.
+            F.try_divide("source_size", "sized").alias("mean"),
             F.when(F.col("target") <= 0, -1).when(F.col("target") >= most * F.col("source_size"), 1).otherwise(0).alias("edge"),
             F.lit(0.0).alias("m"),
             F.lit(-700.0).alias("low"),
