@@ -32,9 +32,10 @@ from courtlake.llm.quality import labelled_rows
 
 #: Labelled documents of each class that are learnt from, at most; those with the smallest hash of their id.
 PER_CLASS = 8000
+#: Letters of the word beginnings that may be terms; a whole word may be of any length.
 SHORTEST, LONGEST = 4, 9
-#: Lexicon terms and exception phrases that are kept, at most: the heaviest.
-MOST_TERMS, MOST_EXCEPTIONS = 5000, 5000
+#: A term is in so many times more toxic documents than clean ones, both by number and by the classes' shares.
+ODDS = 4
 THRESHOLD = 0.5
 
 #: Letters of other scripts that look like Latin ones (after compatibility decomposition).
@@ -85,24 +86,27 @@ def fold(text: str) -> str:
 
 
 def _candidates(word: str) -> list[str]:
-    """A word's beginnings and, with a space at its end, the whole word; of a word longer than the longest beginning only those."""
-    whole = [word + " "] if len(word) <= LONGEST else []
-    return whole + [word[:n] for n in range(SHORTEST, min(len(word), LONGEST) + 1)]
+    """The whole word, with a space at its end, and its beginnings."""
+    return [word + " ", *(word[:n] for n in range(SHORTEST, min(len(word), LONGEST) + 1))]
 
 
 def _beginnings(words: set[str]) -> set[str]:
     return {x for w in words for x in _candidates(w)}
 
 
-def excess(toxic: float, clean: float, share: float) -> float:
+def excess(toxic: Column, clean: Column, share: float) -> Column:
     """Log-likelihood gained over chance by a term in so many toxic and clean documents; 0 if it is no likelier in toxic ones.
 
     ``share`` is the toxic documents' part of all words: what chance would give.
     """
-    p = toxic / (toxic + clean) if toxic else 0.0
-    if p <= share:
-        return 0.0
-    return toxic * math.log(p / share) + (clean * math.log((1 - p) / (1 - share)) if clean else 0.0)
+    p = toxic / (toxic + clean)
+    gain = toxic * F.log(p / share) + F.when(clean > 0, clean * F.log((1 - p) / (1 - share))).otherwise(0.0)
+    return F.when(p > share, gain).otherwise(0.0)
+
+
+def term_weight(toxic: int, clean: int, of: tuple[int, int]) -> float:
+    """Log ratio of a term's shares in the (toxic, clean) documents."""
+    return math.log((toxic + 0.5) / (of[0] + 1)) - math.log((clean + 0.5) / (of[1] + 1))
 
 
 def cover(candidates: list[tuple[str, int, int]], held: list[np.ndarray], toxic: int, clean: int, share: float, bound: float) -> dict[str, float]:
@@ -127,10 +131,10 @@ def cover(candidates: list[tuple[str, int, int]], held: list[np.ndarray], toxic:
         with np.errstate(divide="ignore", invalid="ignore"):
             gain = np.where(p > share, left * np.log(p / share) + np.where(clean_of > 0, clean_of * np.log(np.maximum(1 - p, 1e-12) / (1 - share)), 0), 0)
         best = int(np.lexsort((-length, -gain))[0])
-        if gain[best] < bound or len(found) >= MOST_TERMS:
+        if gain[best] < bound:
             break
         term, t, c_ = candidates[best]
-        found[term] = math.log((t + 0.5) / (toxic + 1)) - math.log((c_ + 0.5) / (clean + 1))
+        found[term] = term_weight(t, c_, (toxic, clean))
         for d in of_doc[best]:
             if open_docs[d]:
                 open_docs[d] = False
@@ -163,7 +167,9 @@ def weigh(folded: str, a: ahocorasick.Automaton | None) -> float:
 
 
 def features(weight: float, words: int) -> tuple[float, float, float]:
-    return 1.0, math.log1p(weight), weight / math.log2(8 + words)
+    """What the curve is fitted on: the weight found for the text's length, twice.  Weights are never negative."""
+    density = weight / math.log2(8 + words)
+    return 1.0, math.log1p(density), density
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -183,7 +189,9 @@ def learn_lexicon(docs: DataFrame, rows: DataFrame, per_class: int = PER_CLASS)
     for y in (0, 1):
         one = rows.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = one if picked is None else picked.unionByName(one)
-    texts = c.materialise(docs.join(picked, "doc_id").select("text", "label"))
+    # An id may be repeated by any number of rows; the text with the smallest hash stands for it, so the bound holds for rows.
+    one_each = docs.join(picked, "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min("label").alias("label"))
+    texts = c.materialise(one_each.select("text", "label"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: tuple[Counter, Counter] = (Counter(), Counter())
@@ -206,11 +214,12 @@ def learn_lexicon(docs: DataFrame, rows: DataFrame, per_class: int = PER_CLASS)
     words = total.get(" ", (0, 0))
     if not toxic or not clean or not sum(words):
         return {}, [], np.array([-2.0, 0.0, 0.0])
-    share = min(0.5, max(words[0] / sum(words), 1e-4))
-    # Only what may pass: beginnings that toxic documents hold at least 4 times as often as clean ones do.
-    counts = [tuple(r) for r in summed.filter("toxic >= 3 and term <> '' and toxic >= 4 * clean").orderBy(F.desc("toxic"), "term").limit(20 * MOST_TERMS).collect()]
+    share = min(max(words[0] / sum(words), 1e-4), 1 - 1e-4)
     bound = math.log(max(2, summed.count())) + 1
-    counts = [x for x in counts if excess(x[1], x[2], share) >= bound]
+    # Only what may pass, each likelier in a toxic document than in a clean one, so that its weight is above 0.
+    odds = f"toxic >= {ODDS} * clean and toxic * {clean}L >= {ODDS} * clean * {toxic}L"
+    passing = summed.filter("toxic >= 3 and trim(term) <> ''").filter(odds).filter(excess(F.col("toxic"), F.col("clean"), share) >= bound)
+    counts = [x for r in passing.orderBy(F.desc("toxic"), "term").collect() if term_weight((x := tuple(r))[1], x[2], (toxic, clean)) > 0]
     numbers = {x[0]: i for i, x in enumerate(counts)}
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +265,7 @@ def _learn_exceptions(texts: DataFrame, terms: dict[str, float]) -> list[str]:
     if not terms:
         return []
     summed = texts.mapInArrow(phrases, "phrase string, toxic long, clean long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    return [r["phrase"] for r in summed.filter("clean >= 2 and clean > 2 * toxic").orderBy(F.desc("clean"), "phrase").limit(MOST_EXCEPTIONS).collect()]
+    return [r["phrase"] for r in summed.filter("clean >= 2 and clean > 2 * toxic").orderBy(F.desc("clean"), "phrase").collect()]
 
 
 def score_toxicity(
@@ -278,7 +287,7 @@ def score_toxicity(
 
     * Null and empty texts have no hits and score as any text without hits.
     * Without toxic and clean labels to learn from, nothing is a term and every
-      text scores low.  Repeated rows each get a row; null ids stay null; other
+      text scores low.  Of rows that repeat a labelled id one is learnt from.  Repeated rows each get a row; null ids stay null; other
       columns are ignored.  Whole texts are scanned, however long.
     """
     carried = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.col(key_col).cast("string").alias("key")] if key_col else []))
