@@ -64,7 +64,7 @@ def term_counts(text: bytes, cache: Terms) -> np.ndarray:
     out[WORD_TERMS : WORD_TERMS + SHAPE_TERMS] = np.bincount((packed >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.int64), minlength=SHAPE_TERMS)
     name = packed >> np.uint64(32)
     twice = float((name[1:] == name[:-1]).mean()) if len(name) > 1 else 0.0
-    distinct = len(np.unique(name)) / len(name) if twice > 0.02 else 1.0
+    distinct = len(np.unique(name)) / len(name)
     out[WORD_TERMS + SHAPE_TERMS + min(11, int(twice * 12))] = 1
     out[WORD_TERMS + SHAPE_TERMS + 12 + min(11, int(distinct * 12))] = 1
     return out
@@ -107,7 +107,9 @@ def _sample(docs: DataFrame, labelled: DataFrame, per_class: int) -> tuple[np.nd
     for y in (0, 1):
         one = labelled.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = one if picked is None else picked.unionByName(one)
-    texts = docs.join(picked, "doc_id").select("text", "label")
+    # An id may be repeated by any number of rows; the text with the smallest hash stands for it, so the bound holds for rows.
+    one_each = docs.join(picked, "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min("label").alias("label"))
+    texts = one_each.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "label")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Terms()
@@ -130,6 +132,14 @@ def _sample(docs: DataFrame, labelled: DataFrame, per_class: int) -> tuple[np.nd
     return x, rows.column("label").to_numpy()
 
 
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """Columns of each row's ``k`` largest values, the earlier column first among equals."""
+    least = np.partition(cosine, -k, axis=1)[:, [-k]]
+    above, level = cosine > least, cosine == least
+    keep = above | level & (np.cumsum(level, axis=1) <= k - above.sum(1, keepdims=True))
+    return np.nonzero(keep)[1].reshape(len(cosine), k)
+
+
 def labelled_rows(labels: DataFrame, label: str, keep: Column) -> DataFrame:
     """(doc_id, label) of the rows to learn from; documents labelled both ways or with null are left out."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter(keep & F.col("label").isin(0, 1))
@@ -153,8 +163,9 @@ def score_quality(
 
     * Null, empty and blank texts, and any text if nothing can be learnt from,
       get the share of label 1 among the rows learnt from (0.5 without any).
-    * Ties between neighbours go to the earlier sample row; repeated rows each
-      get a row; null ids stay null; other columns are ignored.
+    * Ties between neighbours go to the earlier sample row, in the order of the
+      hash of its id; of rows that repeat a labelled id one is learnt from.
+    * Repeated rows each get a row; null ids stay null; other columns are ignored.
     """
     docs = c.id_and_text(docs, id_col, text_col)
     rows = labelled_rows(labels, "quality", F.lit(True) if learn is None else learn)
@@ -187,7 +198,7 @@ def score_quality(
                 v = document_vectors(counts, idf).astype(np.float32) @ base
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
                 cosine = v @ near.T
-                at = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+                at = nearest(cosine, k)
                 w = np.maximum(np.take_along_axis(cosine, at, 1), 1e-6).astype(np.float64) ** SHARPNESS
                 vote = (w * y[at]).sum(1) / w.sum(1)
                 out[s : s + _BLOCK] = np.where(counts.any(1), np.clip(vote, 0, 1), prior)
