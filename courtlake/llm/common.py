@@ -44,11 +44,13 @@ CACHED_WORDS = 400_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's ``spark.checkpoint.dir``; make one only where it is unset (tests)."""
+    """Use the session's ``spark.checkpoint.dir``; make one only where it is unset and no other machine takes part (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset; it has to name a folder that all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="courtlake-checkpoint-"))
 
 
