@@ -1,14 +1,20 @@
 """Exact top-k inner-product search with vector-approximation files.
 
 Vectors are turned to integers, floor(scale * x).  The approximation file keeps
-each component as one of 16 cells between quantiles fitted on a bounded sample;
-all rows are approximated.  Queries and vectors are dealt over a grid: query
-block i and vector fragment j meet in cell (i, j), so each side is copied only
-as often as the other has blocks, whatever its size, and no side is broadcast.
-In a cell the approximations are scanned first: the cells' edges bound every
-score from above and below.  Vectors whose upper bound is under the k-th best
-lower bound are out; the rest are read exactly in the order of their upper
-bounds until the k-th exact score exceeds the next bound.
+one byte per component, its cell between quantiles fitted on a bounded sample;
+every row is in it.  Each cell's true extent over all rows is known, so a row's
+cells bound its score with any query from above and below.
+
+1. **Scan**: query blocks and fragments of the file meet on a grid.  Only bytes
+   travel to it, each side as often as the other has blocks; no side is
+   broadcast.  A task goes through its fragment in slices and carries the k
+   best lower bounds of each query along, so a slice yields only rows whose
+   upper bound reaches them.
+2. **Prune**: over all fragments, a query's k-th best lower bound drops every
+   row whose upper bound is below it.
+3. **Read**: the exact vectors of the rows left are fetched and read in the
+   order of their upper bounds until the k-th exact score is above the next
+   one's bound.
 """
 
 from __future__ import annotations
@@ -24,61 +30,88 @@ from courtlake.llm import common as c
 from courtlake.llm.vectors import matrix, valid_vectors
 
 SCALE, EVERY, K = 256, 50, 5
-CELLS = 16
+CELLS = 256
 #: Rows on which the cells' edges are fitted; the result does not depend on it.
 SAMPLE = 4096
-QUERY_BLOCK, FRAGMENT = 1024, 16384
-_SCAN = 2048
+QUERY_BLOCK, FRAGMENT = 1024, 65536
+#: Rows and queries bounded at once.
+_SLICE, _ASKED = 2048, 128
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
-def _edges(vectors: DataFrame) -> np.ndarray:
-    sample = vectors.select("vec").limit(SAMPLE).toArrow()
-    x = matrix(sample.column("vec"))
-    if not len(x):
-        return np.zeros((CELLS - 1, 0))
-    return np.quantile(x, np.arange(1, CELLS) / CELLS, axis=0)
+def cell_edges(vectors: DataFrame) -> np.ndarray:
+    """(CELLS - 1, dim) quantiles of a bounded sample."""
+    x = matrix(vectors.select("vec").limit(SAMPLE).toArrow().column("vec"))
+    return np.quantile(x, np.arange(1, CELLS) / CELLS, axis=0, method="lower")
 
 
 def approximate(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """The cell of each component: how many edges are at or below it."""
-    out = np.zeros(x.shape, np.uint8)
-    for e in edges:
-        out += x >= e
-    return out
+    return np.stack([np.searchsorted(edges[:, d], x[:, d], side="right") for d in range(x.shape[1])], 1).astype(np.uint8)
+
+
+def extents(x: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(CELLS, dim) least and largest component found in each cell; inf and -inf where none is."""
+    low, high = np.full((CELLS, x.shape[1]), np.inf), np.full((CELLS, x.shape[1]), -np.inf)
+    at = np.broadcast_to(np.arange(x.shape[1]), x.shape)
+    np.minimum.at(low, (cells, at), x)
+    np.maximum.at(high, (cells, at), x)
+    return low, high
 
 
-def scan(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, cells: np.ndarray, k: int, own: np.ndarray):
-    """Per query the rows of the k best of these vectors, ``own`` (a query's own row, or -1) left out."""
-    low, high = np.empty((CELLS, vectors.shape[1])), np.empty((CELLS, vectors.shape[1]))
-    for cell in range(CELLS):  # true extents: never wider than the edges, and finite
-        inside = cells == cell
-        low[cell] = np.where(inside, vectors, np.inf).min(0, initial=np.inf)
-        high[cell] = np.where(inside, vectors, -np.inf).max(0, initial=-np.inf)
-    at = np.arange(vectors.shape[1])
-    lo, hi = low[cells, at], high[cells, at]
+def score_bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of each query's score with each row, rounded outwards."""
     up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    upper, lower = up @ hi.T + down @ lo.T, up @ lo.T + down @ hi.T
-    mine = np.flatnonzero(own >= 0)
-    upper[mine, own[mine]] = lower[mine, own[mine]] = -np.inf
-    n = vectors.shape[0]
-    for q in range(len(queries)):
-        if n > k:
-            enough = np.partition(lower[q], n - k)[n - k]
-            left = np.flatnonzero((upper[q] >= enough) & (upper[q] > -np.inf))
-        else:
-            left = np.flatnonzero(upper[q] > -np.inf)
-        left = left[np.argsort(-upper[q, left], kind="stable")]
-        best_rows, best = np.empty(0, np.int64), np.empty(0)
-        step = max(4 * k, 32)
-        for b in range(0, len(left), step):
-            if len(best) == k and upper[q, left[b]] < best[-1]:
-                break
-            rows = left[b : b + step]
-            rows = np.concatenate([best_rows, rows])
-            score = np.concatenate([best, vectors[rows[len(best) :]] @ queries[q]])
-            order = np.lexsort((ids[rows], -score))[:k]
-            best_rows, best = rows[order], score[order]
-        yield q, best_rows, best
+    with np.errstate(over="ignore", invalid="ignore"):
+        lower, upper = up @ low.T + down @ high.T, up @ high.T + down @ low.T
+        # More than the rounding errors of sums of so many products, whatever their order.
+        slack = np.abs(queries) @ np.maximum(np.abs(low), np.abs(high)).T * (4 * queries.shape[1] * np.finfo(float).eps)
+        return np.nan_to_num(lower - slack, nan=-np.inf, neginf=-np.inf), np.nan_to_num(upper + slack, nan=np.inf, posinf=np.inf)
+
+
+def whole_numbers(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x), exactly: 64-bit where that holds all of them, else Python's integers."""
+    with np.errstate(over="ignore"):
+        floored = np.floor(x * scale)
+    if not x.size or np.abs(floored).max() < 2.0**62:
+        return floored.astype(np.int64)
+    return np.array([[int(f) if math.isfinite(f) else int(v) * scale for f, v in zip(fs, vs, strict=True)] for fs, vs in zip(floored, x, strict=True)], object)
+
+
+def exact_scores(rows: np.ndarray, query: np.ndarray, scale: int) -> list[int]:
+    """Integer inner products of each row with the query, of any size."""
+    a, b = whole_numbers(rows, scale), whole_numbers(query[None], scale)[0]
+    if a.dtype != object and b.dtype != object and a.size:
+        if int(np.abs(a).max()) * int(np.abs(b).max()) * a.shape[1] > _MOST:
+            a, b = a.astype(object), b.astype(object)
+    return [int(s) for s in a @ b]
+
+
+def scan_fragment(asked: np.ndarray, keys: np.ndarray, queries: np.ndarray, cells_of: np.ndarray, low: np.ndarray, high: np.ndarray, k: int):
+    """(query row, fragment row, lower, upper) of what may be among the k best of this fragment; no query meets itself.
+
+    ``asked`` and ``keys`` are the row keys of the queries and of the fragment.
+    """
+    at = np.arange(low.shape[1])
+    found = []
+    for a in range(0, len(asked), _ASKED):
+        some = queries[a : a + _ASKED]
+        best = np.full((len(some), k), -np.inf)  # the k best lower bounds so far
+        parts = []
+        for b in range(0, len(keys), _SLICE):
+            cells = cells_of[b : b + _SLICE]
+            lower, upper = score_bounds(some, low[cells, at], high[cells, at])
+            self_row, self_query = np.nonzero(keys[b : b + _SLICE, None] == asked[None, a : a + _ASKED])
+            lower[self_query, self_row] = upper[self_query, self_row] = -np.inf
+            best = -np.partition(-np.concatenate([best, lower], 1), k - 1, axis=1)[:, :k]
+            ahead = upper >= best.min(1)[:, None]
+            ahead[self_query, self_row] = False
+            q, r = np.nonzero(ahead)
+            parts.append((a + q, b + r, lower[q, r], upper[q, r]))
+        q, r, lower, upper = (np.concatenate(x) for x in zip(*parts, strict=True))
+        late = upper >= best.min(1)[q - a]  # slices seen before the bound rose
+        found.append((q[late], r[late], lower[late], upper[late]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def top_k(
@@ -93,91 +126,106 @@ def top_k(
     * Vectors that are null or empty or hold null or non-finite components take
       no part, nor do rows without an id.
     * Vectors meet only those of their own length.
-    * A repeated id is several rows: a query's "own row" is every row with its
-      id, and each distinct row answers once per repeat.  A repeated query
-      answers once.
+    * Rows that repeat an id are rows of their own: each such query is asked and
+      answered for itself, and only the very row that asks is left out.
+    * Scores are exact integers of any size; one beyond 64 bits ranks by its
+      true value and is returned as the nearest 64-bit number.
+    * An empty table gives no rows; other columns are ignored.
     """
     spark = rows.sparkSession
     vectors = valid_vectors(rows, id_col, vector_col).filter("vec_id is not null")
-    vectors = c.materialise(vectors.select("vec_id", F.transform("vec", lambda x: F.floor(x * scale).cast("double")).alias("vec"), F.size("vec").alias("dim")))
-    sizes = {r["dim"]: (r["n"], r["q"]) for r in vectors.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).collect()}
+    vectors = c.materialise(vectors.select(F.monotonically_increasing_id().alias("key"), "vec_id", "vec", F.size("vec").alias("dim")))
+    asked = F.col("vec_id") % every == 0
+    sizes = {r["dim"]: (r["n"], r["q"]) for r in vectors.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(asked).alias("q")).collect()}
     out = None
     for dim, (n, q) in sorted(sizes.items()):
-        part = vectors.filter(F.col("dim") == dim).drop("dim")
-        found = _search(part, n, q, k, every, c.shuffle_partitions(spark)) if q else None
-        if found is not None:
+        if q:
+            found = _search(vectors.filter(F.col("dim") == dim).drop("dim"), n, q, k, every, scale, c.shuffle_partitions(spark))
             out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return out
+
 
+def _search(vectors: DataFrame, n: int, q: int, k: int, every: int, scale: int, least: int) -> DataFrame:
+    edges = cell_edges(vectors)
+    dim = edges.shape[1]
+
+    def index(batches):
+        low, high = np.full((CELLS, dim), np.inf), np.full((CELLS, dim), -np.inf)
+        for b in batches:
+            x = matrix(b.column("vec"))
+            found = extents(x, approximate(x, edges))
+            low, high = np.minimum(low, found[0]), np.maximum(high, found[1])
+        yield pa.RecordBatch.from_arrays([pa.array([x.ravel()], pa.list_(pa.float64())) for x in (low, high)], names=["low", "high"])
+
+    # CELLS * dim rows, whatever the number of vectors.
+    parts = vectors.select("vec").mapInArrow(index, "low array<double>, high array<double>").select(F.posexplode(F.arrays_zip("low", "high")).alias("at", "x"))
+    found = parts.groupBy("at").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high")).toArrow().sort_by("at")
+    low, high = (found.column(name).to_numpy().reshape(CELLS, dim) for name in ("low", "high"))
+    # The integers lie between the floors of the extents.
+    with np.errstate(over="ignore"):
+        low, high = np.floor(low * scale), np.floor(high * scale)
+
+    def encode(batches):
+        for b in batches:
+            cells = approximate(matrix(b.column("vec")), edges)
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([r.tobytes() for r in cells], pa.binary())], names=["key", "cells"])
 
-def _search(vectors: DataFrame, n: int, q: int, k: int, every: int, least: int) -> DataFrame:
-    edges = _edges(vectors)
     blocks = math.ceil(q / QUERY_BLOCK)
-    fragments = max(math.ceil(n / FRAGMENT), min(math.ceil(least / blocks), math.ceil(n / _SCAN)))
-    deal = F.xxhash64("vec_id")
-    cells = (F.col("i") * fragments + F.col("j")).alias("cell")
+    fragments = max(math.ceil(n / FRAGMENT), min(math.ceil(least / blocks), math.ceil(n / _SLICE)))
+    cell = (F.col("i") * fragments + F.col("j")).alias("cell")
+    queries = vectors.filter(F.col("vec_id") % every == 0).select("key", "vec_id", "vec")
     asked = (
-        vectors.filter(F.col("vec_id") % every == 0)
-        .groupBy("vec_id")
-        .agg(F.min("vec").alias("vec"))
-        .withColumn("i", F.pmod(deal, F.lit(blocks)))
+        queries.withColumn("i", F.pmod(F.xxhash64("key"), F.lit(blocks)))
         .withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))))
-        .select(cells, F.lit(True).alias("query"), "vec_id", "vec")
+        .select(cell, "key", "vec", F.lit(None).cast("binary").alias("cells"))
     )
-    dealt = (
-        vectors.withColumn("j", F.pmod(F.xxhash64("vec_id", "vec"), F.lit(fragments)))
+    file = vectors.select("key", "vec").mapInArrow(encode, "key long, cells binary")
+    filed = (
+        file.withColumn("j", F.pmod(F.xxhash64("key"), F.lit(fragments)))
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .select(cells, F.lit(False).alias("query"), "vec_id", "vec")
+        .select(cell, "key", F.lit(None).cast("array<double>").alias("vec"), "cells")
     )
 
-    def cell(table: pa.Table) -> pa.Table:
-        query = table.column("query").to_numpy(zero_copy_only=False)
-        ids, all_vectors = table.column("vec_id").to_numpy(), matrix(table.column("vec"))
-        asked_ids, asked_vectors, ids, here = ids[query], all_vectors[query], ids[~query], all_vectors[~query]
-        keys, got, scores = [], [], []
-        for b in range(0, len(ids), _SCAN):
-            some, some_ids = here[b : b + _SCAN], ids[b : b + _SCAN]
-            codes = approximate(some, edges)
-            for a in range(0, len(asked_ids), 256):
-                those = asked_ids[a : a + 256]
-                clash = np.isin(some_ids, those)
-                parts = [(~clash, np.full(len(those), -1))]
-                if clash.any():  # rows that are queries themselves: each but to itself
-                    parts += [(clash, None)]
-                for mask, own in parts:
-                    if not mask.any():
-                        continue
-                    sub_ids, sub, sub_codes = some_ids[mask], some[mask], codes[mask]
-                    if own is None:
-                        groups = [(t, sub_ids != those[t]) for t in range(len(those))]
-                        same = {int(v): np.flatnonzero(sub_ids == v) for v in np.unique(sub_ids)}
-                        if all(len(v) == 1 for v in same.values()):
-                            own = np.array([same[int(v)][0] if int(v) in same else -1 for v in those])
-                            groups = None
-                    else:
-                        groups = None
-                    if groups is None:
-                        results = scan(asked_vectors[a : a + 256], sub_ids, sub, sub_codes, k, own)
-                    else:
-                        results = (
-                            (t, np.flatnonzero(m)[r], s)
-                            for t, m in groups
-                            for _, r, s in scan(asked_vectors[a + t : a + t + 1], sub_ids[m], sub[m], sub_codes[m], k, np.array([-1]))
-                        )
-                    for t, r, s in results:
-                        keys.append(np.full(len(r), those[t]))
-                        got.append(sub_ids[r])
-                        scores.append(s)
-        join = (lambda x, t: np.concatenate(x).astype(t) if x else np.empty(0, t))
-        keys, got, scores = join(keys, np.int64), join(got, np.int64), join(scores, np.int64)
-        order = np.lexsort((got, -scores, keys))
-        keys, got, scores = keys[order], got[order], scores[order]
-        place = np.arange(len(keys)) - np.searchsorted(keys, keys)
-        keep = place < k
-        return pa.table({"query_id": keys[keep], "vec_id": got[keep], "score": scores[keep]})
-
-    return asked.union(dealt).groupBy("cell").applyInArrow(cell, "query_id long, vec_id long, score long")
+    def scan(table: pa.Table) -> pa.Table:
+        is_query = table.column("cells").is_null().to_numpy(zero_copy_only=False)
+        keys, mask = table.column("key").to_numpy(), pa.array(is_query)
+        with np.errstate(over="ignore"):
+            some = np.floor(matrix(table.column("vec").filter(mask)) * scale)
+        blob = b"".join(table.column("cells").drop_null().to_pylist())
+        cells_of = np.frombuffer(blob, np.uint8).reshape(-1, dim)
+        if not len(some) or not len(cells_of):
+            empty = np.empty(0)
+            return pa.table({"query": pa.array(empty, pa.int64()), "key": pa.array(empty, pa.int64()), "lower": empty, "upper": empty})
+        q_at, r_at, lower, upper = scan_fragment(keys[is_query], keys[~is_query], some, cells_of, low, high, k)
+        return pa.table({"query": keys[is_query][q_at], "key": keys[~is_query][r_at], "lower": lower, "upper": upper})
+
+    met = asked.union(filed).groupBy("cell").applyInArrow(scan, "query long, key long, lower double, upper double")
+    ranked = met.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.col("lower").desc(), "key")))
+    bar = F.min(F.when(F.col("place") <= k, F.col("lower"))).over(Window.partitionBy("query"))
+    left = ranked.withColumn("bar", bar).filter(F.col("upper") >= F.col("bar")).select("query", "key", "upper")
+
+    fetched = left.join(vectors.select("key", "vec_id", "vec"), "key").select("query", "vec_id", "vec", "upper")
+    put = queries.select(F.col("key").alias("query"), F.col("vec_id").alias("query_id"), F.col("vec").alias("query_vec"))
+
+    def read(table: pa.Table) -> pa.Table:
+        upper, ids, x = table.column("upper").to_numpy(), table.column("vec_id").to_numpy(), matrix(table.column("vec"))
+        query = np.array(table.column("query_vec")[0].as_py())
+        order = np.argsort(-upper, kind="stable")
+        best: list[tuple[int, int]] = []
+        for b in range(0, len(order), 4 * k):
+            if len(best) == k and upper[order[b]] < -best[-1][0]:
+                break
+            rows = order[b : b + 4 * k]
+            best = sorted([*best, *zip((-s for s in exact_scores(x[rows], query, scale)), ids[rows].tolist(), strict=True)])[:k]
+        return pa.table(
+            {
+                "query_id": pa.array([table.column("query_id")[0].as_py()] * len(best), pa.int64()),
+                "rank": pa.array(range(1, len(best) + 1), pa.int32()),
+                "vec_id": pa.array([i for _, i in best], pa.int64()),
+                "score": pa.array([max(_LEAST, min(_MOST, -s)) for s, _ in best], pa.int64()),
+            }
+        )
+
+    return fetched.join(put, "query").groupBy("query").applyInArrow(read, "query_id long, rank int, vec_id long, score long")
