@@ -3,35 +3,46 @@
 A document's ids are those of a byte-level BPE plus an end id.  Only documents
 longer than a sequence are cut, into full pieces and one shorter first piece.
 
-Pieces are range-sorted: the classes of the sort are the lengths 1..``capacity``,
-and a piece's rank within its class is found by a salted window, so no class,
-however full, is one task.  Matching works on the ranks.  A sweep lays the
-longest unmatched class over the gaps in order: each gap that is a successor
-(the smallest that is large enough) takes the next rank, and no two pieces claim
-one gap because ranks are distinct.  Gaps shrink by what they took and the sweep
-repeats until the class is placed; what no gap can take opens new sequences.
-Since a class is its length and count, the sweeps' state has at most
-``capacity`` classes whatever the corpus; the plan it leaves is joined back to
-the pieces by (length, rank range).
+Pieces longer than half a sequence open one each.  All others are placed by
+sweeps over two distributed tables, the pieces and the gaps (what is free in
+each open sequence), both range-sorted by size:
+
+* **Successor.**  Sizes are run through from large to small.  A gap is pushed,
+  a piece pops the gap pushed last, which is the smallest that is large enough
+  and not taken by a longer piece of the sweep.  A push and its pop have the same
+  *level*: the number of gaps then open.  So a sweep deals both tables by level,
+  and within a level each piece follows its gap.
+* **Rank.**  The level of a row is its rank within its size plus what the larger
+  sizes leave open.  Pieces of one size claim gaps of one size by rank, so no two
+  claim the same.
+* **Update.**  A gap shrinks by the pieces it got; the next sweep sorts the gaps
+  again.  A gap that holds the longest piece left several times is that many
+  slots.  A sweep takes pieces down to ``FRACTION`` of the longest one, so shorter
+  ones do not take gaps from those that are still to come.  Where no gap holds the
+  longest piece, sequences are opened.
+
+Only the numbers of pieces and gaps by size come to the driver, at most
+``capacity`` of each (and one more per task); rows are never collected, and no
+size, level or sequence is one task.
 """
 
 from __future__ import annotations
 
 import base64
-import bisect
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from courtlake.llm import common as c
 
 CAPACITY, END_ID = 2048, 0
-_SALTS = 64
+#: A sweep takes pieces of at least this part of the longest one left.
+FRACTION = 0.5
 
 
 def default_tokenizer() -> str:
@@ -107,45 +118,115 @@ def pieces_of(docs: DataFrame, capacity: int, tokenizer: str | None, with_ids: b
     return docs.mapInArrow(tokenise, PIECES + ", ids binary" * with_ids)
 
 
-def plan_sweeps(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Best-fit over length classes: [(length, first rank, past-last rank, first sequence, offset)] and the number of sequences.
+def _lookup(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    """A table by size for the join with the rows: at most one row per size, and one more per task."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(names.split())
+    return F.broadcast(spark.createDataFrame(pa.table({n: pa.array(v, pa.int64()) for n, v in zip(names.split(), columns, strict=True)})))
 
-    ``gaps[g]`` lists runs of sequences [first, past last) that have ``g`` ids
-    free; a gap's offset is ``capacity - g``.
+
+def _by_size(table: DataFrame, key: str) -> tuple[DataFrame, dict[int, int]]:
+    """(``key``, ``size``) range-sorted, each row with its ``rank`` (from 0) among those of its size; rows by size.
+
+    A size that many rows have spreads over the ranges, as ``key`` is sorted on too.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    sizes: list[int] = []  # of the gaps that exist, ascending
-    plan, opened = [], 0
-
-    def add(gap: int, first: int, last: int) -> None:
-        if gap and first < last:
-            if gap not in gaps:
-                gaps[gap] = []
-                bisect.insort(sizes, gap)
-            gaps[gap].append((first, last))
-
-    for length in sorted(counts, reverse=True):
-        rank, total = 0, counts[length]
-        while rank < total:
-            at = bisect.bisect_left(sizes, length)
-            if at == len(sizes):
-                fit = min(capacity // length, total - rank)
-                new = -(-(total - rank) // fit) if fit else 0
-                add(capacity, opened, opened + new)
-                opened += new
-                continue
-            gap = sizes[at]
-            first, last = gaps[gap].pop()
-            take = min(last - first, total - rank)
-            if take < last - first:
-                gaps[gap].append((first + take, last))
-            elif not gaps[gap]:
-                del gaps[gap]
-                sizes.pop(at)
-            plan.append((length, rank, rank + take, first, capacity - gap))
-            rank += take
-            add(gap - length, first, first + take)
-    return plan, opened
+    spark = table.sparkSession
+    dealt = table.repartitionByRange(c.shuffle_partitions(spark), F.col("size").desc(), key).sortWithinPartitions(F.col("size").desc(), key)
+    rows = c.materialise(dealt.select(key, "size", F.monotonically_increasing_id().alias("at")))
+    runs = rows.groupBy(F.shiftright("at", 33).alias("part"), "size").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    held: dict[int, int] = {}
+    shifts = []
+    for r in sorted(runs.collect(), key=lambda r: r["part"]):  # sizes are sorted, so at most one row more than sizes per part
+        shifts.append((r["part"], r["size"], held.get(r["size"], 0) - r["first"]))
+        held[r["size"]] = held.get(r["size"], 0) + r["n"]
+    shift = _lookup(spark, shifts, "r_part r_size shift")
+    ranked = rows.join(shift, (F.shiftright("at", 33) == F.col("r_part")) & (F.col("size") == F.col("r_size")))
+    return ranked.select(key, "size", (F.col("at") + F.col("shift")).alias("rank")), held
+
+
+def plan_levels(gaps: dict[int, int], pieces: dict[int, int], longest: int) -> tuple[list[tuple[int, ...]], list[tuple[int, ...]]]:
+    """The levels of one sweep, from the numbers of gaps and of pieces by size.
+
+    Gaps: (size, order, slots, base, first): the gap of rank ``r`` is ``slots`` slots, slot ``t`` of it has the level
+    ``base + r * slots + t + 1``, and only slots from number ``first`` of the size on are taken.  Pieces: (size, order,
+    base, taken): the first ``taken`` are placed, the one of rank ``r`` at the level ``base - r``.
+    """
+    events, height = [], 0
+    for size in sorted(gaps.keys() | pieces.keys(), reverse=True):
+        if gaps.get(size):
+            slots = max(1, size // longest)
+            events.append((True, size, slots, height, gaps[size] * slots))
+            height += gaps[size] * slots
+        if taken := min(height, pieces.get(size, 0)):
+            events.append((False, size, 0, height, taken))
+            height -= taken
+    pushed, popped, lowest = [], [], height
+    for order in range(len(events) - 1, -1, -1):
+        push, size, slots, base, n = events[order]
+        if not push:
+            lowest = min(lowest, base - n)
+            popped.append((size, order, base, n))
+        elif lowest < base + n:
+            pushed.append((size, order, slots, base, max(0, lowest - base)))
+            lowest = min(lowest, base)
+    return pushed, popped
+
+
+def _sweep(gaps: DataFrame, pieces: DataFrame, held: dict[int, int], placed: dict[int, int], part: dict[int, int]) -> tuple[DataFrame, dict[int, int]]:
+    """One sweep: (tie, size, sequence) of the pieces it places, and how many of each size."""
+    spark = gaps.sparkSession
+    pushed, popped = plan_levels(held, part, max(part))
+    take = {size: n for size, _, _, n in popped}
+    slots = _lookup(spark, pushed, "p_size order slots base first")
+    begin = F.greatest(F.col("first") - F.col("rank") * F.col("slots"), F.lit(0))
+    open_slots = (
+        gaps.join(slots, F.col("size") == F.col("p_size")).filter((F.col("rank") + 1) * F.col("slots") > F.col("first"))
+        .withColumn("slot", F.explode(F.sequence(begin, F.col("slots") - 1)))
+        .select((F.col("base") + F.col("rank") * F.col("slots") + F.col("slot") + 1).alias("level"), "order", "sequence", F.lit(None).cast("long").alias("tie"), F.lit(None).cast("int").alias("size"))
+    )
+    claims = _lookup(spark, [(s, o, b, placed.get(s, 0), placed.get(s, 0) + n) for s, o, b, n in popped], "p_size order base low high")
+    claiming = pieces.join(claims, F.col("size") == F.col("p_size")).filter("rank >= low and rank < high")
+    claiming = claiming.select((F.col("base") - (F.col("rank") - F.col("low"))).alias("level"), "order", F.lit(None).cast("long").alias("sequence"), "tie", "size")
+    along = Window.partitionBy("level").orderBy("order")
+    met = open_slots.unionByName(claiming).withColumn("sequence", F.coalesce("sequence", F.lag("sequence").over(along)))
+    return c.materialise(met.filter("tie is not null").select("tie", "size", "sequence")), take
+
+
+def _assign(made: DataFrame, capacity: int) -> DataFrame | None:
+    """(tie, size, sequence, sweep) of all pieces shorter than a sequence; None if there are none."""
+    spark = made.sparkSession
+    pieces, left = _by_size(made.filter(F.col("length") < capacity).select("tie", F.col("length").alias("size")), "tie")
+    if not left:
+        return None
+    large = {s: n for s, n in left.items() if 2 * s > capacity}
+    before, opened = [], 0
+    for size in sorted(large, reverse=True):
+        before.append((size, opened))
+        opened += large[size]
+        del left[size]
+    starts = _lookup(spark, before, "p_size before")
+    done = pieces.join(starts, F.col("size") == F.col("p_size")).select("tie", "size", (F.col("before") + F.col("rank")).alias("sequence"))
+    assigned = done.withColumn("sweep", F.lit(0))
+    gaps = done.select("sequence", (capacity - F.col("size")).alias("size"))
+    placed: dict[int, int] = {}
+    sweep = 0
+    while left:
+        longest, sweep = max(left), sweep + 1
+        ranked, held = _by_size(gaps.filter(F.col("size") >= min(left)), "sequence")
+        part = {s: n for s, n in left.items() if s >= FRACTION * longest}
+        roomiest = max(held, default=0)
+        if longest > roomiest:
+            new = -(-sum(s * n for s, n in part.items() if s > roomiest) // capacity)
+            ranked = ranked.unionByName(spark.range(new).select((F.col("id") + opened).alias("sequence"), F.lit(capacity).alias("size"), F.col("id").alias("rank")))
+            held, opened = {**held, capacity: new}, opened + new
+        met, take = _sweep(ranked, pieces, held, placed, part)
+        for size, n in take.items():
+            placed[size] = placed.get(size, 0) + n
+            left[size] -= n
+        left = {s: n for s, n in left.items() if n}
+        assigned = assigned.unionByName(met.withColumn("sweep", F.lit(sweep)))
+        shrunk = ranked.select("sequence", "size").unionByName(met.select("sequence", (-F.col("size")).alias("size")))
+        gaps = shrunk.groupBy("sequence").agg(F.sum("size").cast("int").alias("size"))
+    return assigned
 
 
 def pack(
@@ -162,41 +243,15 @@ def pack(
     * ``sequence_id`` are distinct numbers, not consecutive.
     * Empty input gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
     made = c.materialise(
         pieces_of(c.id_and_text(docs, id_col, text_col), capacity, tokenizer, with_ids).withColumn("tie", F.monotonically_increasing_id())
     )
-    full = made.filter(F.col("length") == capacity)
-    short = made.filter(F.col("length") < capacity).withColumn("salt", F.pmod(F.xxhash64("tie"), F.lit(_SALTS)).cast("int"))
-    # At most (capacity - 1) * salts rows, whatever the corpus.
-    held = {(r["length"], r["salt"]): r["n"] for r in short.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()}
-    counts: dict[int, int] = {}
-    before = []
-    for (length, salt), n in sorted(held.items()):
-        before.append((length, salt, counts.get(length, 0)))
-        counts[length] = counts.get(length, 0) + n
-    plan, _ = plan_sweeps(counts, capacity)
-    ranked = short.withColumn("in_salt", F.row_number().over(Window.partitionBy("length", "salt").orderBy("tie")) - 1)
     out = made.columns[:-1]
-
-    if plan:
-        base = np.full((capacity, _SALTS), 0, np.int64)
-        for length, salt, b in before:
-            base[length, salt] = b
-        by = np.array(sorted(plan), np.int64)
-        width = int(by[:, 2].max()) + 1
-        edge = by[:, 0] * width + by[:, 1]
-
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                length, salt = b.column("length").to_numpy(), b.column("salt").to_numpy()
-                rank = base[length, salt] + b.column("in_salt").to_numpy()
-                row = by[np.searchsorted(edge, length.astype(np.int64) * width + rank, side="right") - 1]
-                columns = [*(b.column(x) for x in out), pa.array(row[:, 3] + rank - row[:, 1]), pa.array(row[:, 4])]
-                yield pa.RecordBatch.from_arrays(columns, names=[*out, "sequence_id", "offset"])
-
-        placed = ranked.mapInArrow(place, PIECES + ", ids binary" * with_ids + ", sequence_id long, offset long")
-    else:
-        placed = ranked.select(*out, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    alone = full.select(*out, (-1 - F.col("tie")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return placed.unionByName(alone).withColumn("length", F.col("length").cast("long"))
+    alone = made.filter(F.col("length") == capacity).select(*out, (-1 - F.col("tie")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    assigned = _assign(made, capacity)
+    if assigned is not None:
+        inside = Window.partitionBy("sequence").orderBy("sweep", F.col("size").desc(), "tie")
+        offset: Column = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+        placed = assigned.withColumn("offset", offset).select("tie", F.col("sequence").alias("sequence_id"), "offset")
+        alone = made.join(placed, "tie").select(*out, "sequence_id", "offset").unionByName(alone)
+    return alone.withColumn("length", F.col("length").cast("long"))

@@ -17,12 +17,14 @@ from courtlake.llm.licenses import FULL_TEXTS
 from courtlake.llm.line_dedup import apply_bitmap, kept_digest, line_dedup
 from courtlake.llm.mixing import mix
 from courtlake.llm.ngram_join import ngram_components, tree_links
-from courtlake.llm.packing import Encoder, default_tokenizer, pack, plan_sweeps
+from courtlake.llm.packing import Encoder, default_tokenizer, pack
 from courtlake.llm.quality import Terms, score_quality
 from courtlake.llm.substring_dedup import substring_dedup
 from courtlake.llm.topk_search import top_k
 from courtlake.llm.toxicity import fold, score_toxicity
 
+from best_fit import plan_sweeps  # isort: skip
+
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 RNG = np.random.default_rng(7)
 
