@@ -21,7 +21,10 @@ from courtlake.llm import common as c
 
 SHARE, MOST, WEIGHTS = 1.5, 2, (5, 2, 1)
 WORD = "[^\\x20\\x09-\\x0D]+"
-_RANGES = 256
+#: Hash ranges of a source in which rates are rounded: so many, and more where a range of all rows would exceed RANGE_ROWS.
+_RANGES, RANGE_ROWS = 256, 1 << 19
+#: A table with a row per source is broadcast up to so many sources.
+BROADCAST_SOURCES = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -134,9 +137,10 @@ def mix(
 
     Returns one row per input row: ``doc_id``, ``source``, ``size`` (words),
     ``source_size``, ``target`` (its source's), ``rate``, ``copies`` (whole
-    copies) and ``taken`` (words: copies * size, but for one document per
-    source whose last copy is cut so that the source meets its target); with
-    ``key_col`` also ``key``, that column, which decides nothing.
+    copies) and ``taken`` (words: copies * size, more or less for the documents
+    that close what rounding leaves open, all but one of a source by whole
+    copies, so that the source meets its target to the word); with ``key_col``
+    also ``key``, that column, which decides nothing.
 
     * Null or empty text has size 0 and is never taken.  A source of size 0 has
       target 0.  A null source is a source of its own, the last.
@@ -162,16 +166,17 @@ def mix(
     goals = c.materialise(goals.join(totals.select(F.col("source").alias("s"), "sized"), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
     tilt = _multipliers(histogram.filter("size > 0"), goals, most)
     plan = tilt.join(goals.select(F.col("source").alias("s"), "source_size"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    plan = c.materialise(plan.withColumnsRenamed({x: f"p_{x}" for x in plan.columns}))
+    plan = c.materialise(plan.withColumnsRenamed({x: f"p_{x}" for x in plan.columns if x != "source"}))
 
     z = F.col("size") / F.col("p_mean")
     tilted = F.lit(float(most)) / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("p_multiplier") * z))))
     rate = F.when(F.col("size") == 0, 0.0).when(F.col("p_edge") < 0, 0.0).when(F.col("p_edge") > 0, float(most)).otherwise(tilted)
-    rated = sized.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).withColumn("rate", rate)
+    rated = _with_source(sized, plan).withColumn("rate", rate)
 
     # Running sums along the sizes, in ranges of each source so that no source is one task.
     # Rates are summed as whole billionths, which add up alike in any order.
-    part = F.pmod(F.col("tie"), F.lit(_RANGES)).cast("int")
+    ranges = max(_RANGES, (histogram.agg(F.sum("n")).first()[0] or 0) // RANGE_ROWS)
+    part = F.pmod(F.col("tie"), F.lit(ranges)).cast("int")
     unit = F.round(F.col("rate") * 1e9).cast("long")
     rated = rated.withColumn("part", part).withColumn("unit", unit)
     along = Window.partitionBy("source", "part").orderBy(F.col("size").desc(), "tie", "doc_id")
@@ -191,9 +196,9 @@ def mix(
     gaps = (
         rounded.groupBy("source")
         .agg(F.round(F.first("target")).cast("long").alias("goal"), F.sum(F.col("copies") * F.col("size")).alias("got"))
-        .select(F.col("source").alias("s"), (F.col("goal") - F.col("got")).alias("gap"))
+        .select("source", (F.col("goal") - F.col("got")).alias("gap"))
     )
-    asked = rounded.join(gaps, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    asked = _with_source(rounded, c.materialise(gaps))
     room = F.when(F.col("gap") > 0, most * F.col("size") - F.col("copies") * F.col("size")).otherwise(F.col("copies") * F.col("size"))
     roomy = asked.withColumn("room", room)
     fix = _closing(roomy)
@@ -205,29 +210,44 @@ def mix(
 def _closing(roomy: DataFrame) -> DataFrame:
     """(row, change) of the documents that close a source's gap.
 
-    The roomiest documents change by all their room until the gap is closed, however many that takes.  Running sums
-    go over a source's rooms, then over ranges of hashes at the room where the gap ends, then over the rows of
-    that one range, so no source is one task.
+    The roomiest documents change by all their room until the gap is closed, however many that takes.  Level by level
+    (room, ranges of hashes, hash and id, parts of the table, row) running sums over what a source has of each value
+    find the one value at which the gap ends; rows before it change by all their room, and only its own rows go on to
+    the next level.  So no source, room or repeated row is one task, and sums run over counts, not rows.
     """
-    key = ["source", "gap", "room", "tie", "doc_id", "row"]
-    rows = roomy.filter("gap <> 0 and room > 0").select(*key, F.shiftright("tie", 52).alias("span"))
-
-    def running(table: DataFrame, by: list[str], order: list[Column], need: Column) -> DataFrame:
-        """How much of what is needed each row of ``table`` finds still open (``open``)."""
-        before = F.coalesce(F.sum("total").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return table.withColumn("open", need - before).filter("open > 0")
-
-    total = F.sum("room").alias("total")
-    rooms = running(rows.groupBy("source", "gap", "room").agg(total), ["source"], [F.col("room").desc()], F.abs("gap"))
-    # All of a room, or of a range of hashes, goes where its total fits into what is open; where it does not, its rows are looked at.
-    rooms = c.materialise(rooms.select(F.col("source").alias("r_source"), F.col("room").alias("r_room"), F.col("open").alias("r_open"), (F.col("total") <= F.col("open")).alias("r_whole")))
-    near = rows.join(rooms, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("room") == F.col("r_room")))
-    spans = running(near.filter("not r_whole").groupBy("source", "room", "span", "r_open").agg(total), ["source"], [F.col("span")], F.col("r_open"))
-    spans = c.materialise(spans.select(F.col("source").alias("s_source"), F.col("span").alias("s_span"), F.col("open").alias("s_open"), (F.col("total") <= F.col("open")).alias("s_whole")))
-    joined = near.join(spans, F.col("source").eqNullSafe(F.col("s_source")) & ~F.col("r_whole") & (F.col("span") == F.col("s_span")), "left").filter("r_whole or s_span is not null")
-    last = joined.filter("not r_whole and not s_whole").select(*key, "s_open", F.col("room").alias("total"))
-    last = running(last, ["source"], [F.col("tie"), F.col("doc_id"), F.col("row")], F.col("s_open"))
     sign = F.signum("gap").cast("long")
-    whole = joined.filter("r_whole or s_whole").select("row", (F.col("room") * sign).alias("change"))
-    closing = whole.unionByName(last.select("row", (F.least("room", "open") * sign).alias("change")))
+    levels = {
+        "room": -F.col("room"),
+        "span": F.shiftright("tie", 52),
+        "document": F.struct("tie", "doc_id"),
+        "part": F.shiftright("row", 33),
+        "row": F.col("row"),
+    }
+    at = roomy.filter("gap <> 0 and room > 0").select("source", "gap", "room", "tie", "doc_id", "row", F.abs("gap").alias("open"))
+    closing = None
+    for level in levels.values():
+        at = at.withColumn("value", level)
+        totals = at.groupBy("source", "open", "value").agg(F.sum("room").alias("total"))
+        before = F.sum("total").over(Window.partitionBy("source").orderBy("value").rowsBetween(Window.unboundedPreceding, -1))
+        left = F.col("open") - F.coalesce(before, F.lit(0))
+        ends = totals.withColumn("left", left).filter("left > 0 and total >= left")
+        ends = c.materialise(ends.select("source", F.col("value").alias("end"), "left"))
+        joined = _with_source(at, ends)
+        whole = joined.filter("end is null or value < end").select("row", (F.col("room") * sign).alias("change"))
+        closing = whole if closing is None else closing.unionByName(whole)
+        at = joined.filter("value = end").withColumn("open", F.col("left")).drop("value", "end", "left")
+    # One row of a source is left, with at least as much room as what is open.
+    closing = closing.unionByName(at.select("row", (F.col("open") * sign).alias("change")))
     return closing.select(F.col("row").alias("f_row"), F.col("change").alias("f_change"))
+
+
+def _with_source(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``table``, a row per source at most, or nulls.
+
+    The table is broadcast while it is small, so that rows are not dealt by source; else the join is left to adaptive
+    execution, which splits the hot sources.
+    """
+    named = table.withColumnRenamed("source", "t_source")
+    if table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        named = F.broadcast(named)
+    return rows.join(named, F.col("source").eqNullSafe(F.col("t_source")), "left").drop("t_source")
