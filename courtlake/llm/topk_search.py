@@ -15,6 +15,10 @@ cells bound its score with any query from above and below.
 3. **Read**: the exact vectors of the rows left are fetched and read in the
    order of their upper bounds until the k-th exact score is above the next
    one's bound.
+
+Equal vectors score alike, so of a group of copies only the first k + 1 ids go
+into the file, and equal queries are asked once, for k + 1 rows: each takes the
+first k that are not itself.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtlake.llm import common as c
-from courtlake.llm.vectors import matrix, valid_vectors
+from courtlake.llm.vectors import digest, matrix, valid_vectors
 
 SCALE, EVERY, K = 256, 50, 5
 CELLS = 256
@@ -87,26 +91,19 @@ def exact_scores(rows: np.ndarray, query: np.ndarray, scale: int) -> list[int]:
     return [int(s) for s in a @ b]
 
 
-def scan_fragment(asked: np.ndarray, keys: np.ndarray, queries: np.ndarray, cells_of: np.ndarray, low: np.ndarray, high: np.ndarray, k: int):
-    """(query row, fragment row, lower, upper) of what may be among the k best of this fragment; no query meets itself.
-
-    ``asked`` and ``keys`` are the row keys of the queries and of the fragment.
-    """
+def scan_fragment(queries: np.ndarray, cells_of: np.ndarray, low: np.ndarray, high: np.ndarray, k: int):
+    """(query, row, lower, upper) of what may be among the k best of this fragment."""
     at = np.arange(low.shape[1])
     found = []
-    for a in range(0, len(asked), _ASKED):
+    for a in range(0, len(queries), _ASKED):
         some = queries[a : a + _ASKED]
         best = np.full((len(some), k), -np.inf)  # the k best lower bounds so far
         parts = []
-        for b in range(0, len(keys), _SLICE):
+        for b in range(0, len(cells_of), _SLICE):
             cells = cells_of[b : b + _SLICE]
             lower, upper = score_bounds(some, low[cells, at], high[cells, at])
-            self_row, self_query = np.nonzero(keys[b : b + _SLICE, None] == asked[None, a : a + _ASKED])
-            lower[self_query, self_row] = upper[self_query, self_row] = -np.inf
             best = -np.partition(-np.concatenate([best, lower], 1), k - 1, axis=1)[:, :k]
-            ahead = upper >= best.min(1)[:, None]
-            ahead[self_query, self_row] = False
-            q, r = np.nonzero(ahead)
+            q, r = np.nonzero(upper >= best.min(1)[:, None])
             parts.append((a + q, b + r, lower[q, r], upper[q, r]))
         q, r, lower, upper = (np.concatenate(x) for x in zip(*parts, strict=True))
         late = upper >= best.min(1)[q - a]  # slices seen before the bound rose
@@ -134,20 +131,30 @@ def top_k(
     """
     spark = rows.sparkSession
     vectors = valid_vectors(rows, id_col, vector_col).filter("vec_id is not null")
-    vectors = c.materialise(vectors.select(F.monotonically_increasing_id().alias("key"), "vec_id", "vec", F.size("vec").alias("dim")))
-    asked = F.col("vec_id") % every == 0
-    sizes = {r["dim"]: (r["n"], r["q"]) for r in vectors.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(asked).alias("q")).collect()}
+    vectors = vectors.select(F.monotonically_increasing_id().alias("key"), "vec_id", "vec", F.size("vec").alias("dim"), *digest("vec"))
+    vectors = c.materialise(vectors)
+    same = ("dim", "d1", "d2")
+    among_copies = F.row_number().over(Window.partitionBy(*same).orderBy("vec_id", "key"))
+    file = vectors.withColumn("place", among_copies).filter(F.col("place") <= k + 1).drop("place")
+    queries = vectors.filter(F.col("vec_id") % every == 0).select("key", "vec_id", *same)
+    asked = vectors.filter(F.col("vec_id") % every == 0).groupBy(*same).agg(F.min("key").alias("query"), F.first("vec").alias("vec"))
+    file, asked = c.materialise(file), c.materialise(asked)
+    sizes = {r["dim"]: r["n"] for r in file.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     out = None
-    for dim, (n, q) in sorted(sizes.items()):
-        if q:
-            found = _search(vectors.filter(F.col("dim") == dim).drop("dim"), n, q, k, every, scale, c.shuffle_partitions(spark))
-            out = found if out is None else out.unionByName(found)
+    for r in sorted(asked.groupBy("dim").agg(F.count("*").alias("q")).collect()):
+        of_dim = F.col("dim") == r["dim"]
+        found = _search(file.filter(of_dim).select("key", "vec_id", "vec"), asked.filter(of_dim).select("query", "vec"), sizes[r["dim"]], r["q"], k + 1, scale, c.shuffle_partitions(spark))
+        out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return out
+    put = queries.join(asked.select("query", *same), list(same)).select("query", F.col("key").alias("own"), F.col("vec_id").alias("query_id"))
+    others = out.join(put, "query").filter(F.col("key") != F.col("own"))
+    rank = F.row_number().over(Window.partitionBy("own").orderBy("rank"))
+    return others.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search(vectors: DataFrame, n: int, q: int, k: int, every: int, scale: int, least: int) -> DataFrame:
+def _search(vectors: DataFrame, queries: DataFrame, n: int, q: int, k: int, scale: int, least: int) -> DataFrame:
+    """(query, key, vec_id, rank, score) of the k best rows of ``vectors`` for each of the ``queries``."""
     edges = cell_edges(vectors)
     dim = edges.shape[1]
 
@@ -175,11 +182,10 @@ def _search(vectors: DataFrame, n: int, q: int, k: int, every: int, scale: int,
     blocks = math.ceil(q / QUERY_BLOCK)
     fragments = max(math.ceil(n / FRAGMENT), min(math.ceil(least / blocks), math.ceil(n / _SLICE)))
     cell = (F.col("i") * fragments + F.col("j")).alias("cell")
-    queries = vectors.filter(F.col("vec_id") % every == 0).select("key", "vec_id", "vec")
     asked = (
-        queries.withColumn("i", F.pmod(F.xxhash64("key"), F.lit(blocks)))
+        queries.withColumn("i", F.pmod(F.xxhash64("query"), F.lit(blocks)))
         .withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))))
-        .select(cell, "key", "vec", F.lit(None).cast("binary").alias("cells"))
+        .select(cell, F.col("query").alias("key"), "vec", F.lit(None).cast("binary").alias("cells"))
     )
     file = vectors.select("key", "vec").mapInArrow(encode, "key long, cells binary")
     filed = (
@@ -198,7 +204,7 @@ def _search(vectors: DataFrame, n: int, q: int, k: int, every: int, scale: int,
         if not len(some) or not len(cells_of):
             empty = np.empty(0)
             return pa.table({"query": pa.array(empty, pa.int64()), "key": pa.array(empty, pa.int64()), "lower": empty, "upper": empty})
-        q_at, r_at, lower, upper = scan_fragment(keys[is_query], keys[~is_query], some, cells_of, low, high, k)
+        q_at, r_at, lower, upper = scan_fragment(some, cells_of, low, high, k)
         return pa.table({"query": keys[is_query][q_at], "key": keys[~is_query][r_at], "lower": lower, "upper": upper})
 
     met = asked.union(filed).groupBy("cell").applyInArrow(scan, "query long, key long, lower double, upper double")
@@ -206,26 +212,26 @@ def _search(vectors: DataFrame, n: int, q: int, k: int, every: int, scale: int,
     bar = F.min(F.when(F.col("place") <= k, F.col("lower"))).over(Window.partitionBy("query"))
     left = ranked.withColumn("bar", bar).filter(F.col("upper") >= F.col("bar")).select("query", "key", "upper")
 
-    fetched = left.join(vectors.select("key", "vec_id", "vec"), "key").select("query", "vec_id", "vec", "upper")
-    put = queries.select(F.col("key").alias("query"), F.col("vec_id").alias("query_id"), F.col("vec").alias("query_vec"))
+    fetched = left.join(vectors, "key").join(queries.withColumnRenamed("vec", "query_vec"), "query")
 
     def read(table: pa.Table) -> pa.Table:
-        upper, ids, x = table.column("upper").to_numpy(), table.column("vec_id").to_numpy(), matrix(table.column("vec"))
+        upper, ids, keys, x = table.column("upper").to_numpy(), table.column("vec_id").to_numpy(), table.column("key").to_numpy(), matrix(table.column("vec"))
         query = np.array(table.column("query_vec")[0].as_py())
         order = np.argsort(-upper, kind="stable")
-        best: list[tuple[int, int]] = []
+        best: list[tuple[int, int, int]] = []
         for b in range(0, len(order), 4 * k):
             if len(best) == k and upper[order[b]] < -best[-1][0]:
                 break
             rows = order[b : b + 4 * k]
-            best = sorted([*best, *zip((-s for s in exact_scores(x[rows], query, scale)), ids[rows].tolist(), strict=True)])[:k]
+            best = sorted([*best, *zip((-s for s in exact_scores(x[rows], query, scale)), ids[rows].tolist(), keys[rows].tolist(), strict=True)])[:k]
         return pa.table(
             {
-                "query_id": pa.array([table.column("query_id")[0].as_py()] * len(best), pa.int64()),
+                "query": pa.array([table.column("query")[0].as_py()] * len(best), pa.int64()),
+                "key": pa.array([key for _, _, key in best], pa.int64()),
+                "vec_id": pa.array([i for _, i, _ in best], pa.int64()),
                 "rank": pa.array(range(1, len(best) + 1), pa.int32()),
-                "vec_id": pa.array([i for _, i in best], pa.int64()),
-                "score": pa.array([max(_LEAST, min(_MOST, -s)) for s, _ in best], pa.int64()),
+                "score": pa.array([max(_LEAST, min(_MOST, -s)) for s, _, _ in best], pa.int64()),
             }
         )
 
-    return fetched.join(put, "query").groupBy("query").applyInArrow(read, "query_id long, rank int, vec_id long, score long")
+    return fetched.groupBy("query").applyInArrow(read, "query long, key long, vec_id long, rank int, score long")

@@ -20,6 +20,11 @@ def valid_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.select(F.col(id_col).cast("long").alias("vec_id"), vec.alias("vec")).filter(F.coalesce(usable(F.col("vec")), F.lit(False)))
 
 
+def digest(vector: str) -> tuple[Column, Column]:
+    """``d1`` and ``d2``, two 64-bit hashes by which equal vectors are found."""
+    return F.xxhash64(vector).alias("d1"), F.xxhash64(F.lit(1), vector).alias("d2")
+
+
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """A list column of one length as a 2-D array."""
     if isinstance(column, pa.ChunkedArray):

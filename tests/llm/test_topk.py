@@ -40,6 +40,11 @@ def test_repeats_ties_lengths_and_nulls(spark):
     assert search(spark, [], every=10) == []
 
 
+def test_a_third_of_all_rows_are_copies(spark):
+    rows = [(i, [1.0, 2.0, -0.5] if i % 3 == 0 else RNG.normal(size=3).tolist()) for i in range(240)]
+    assert search(spark, rows, every=20) == brute(rows, 20, 5)
+
+
 def test_slices_and_blocks(spark, monkeypatch):
     for name, value in (("_SLICE", 16), ("_ASKED", 3), ("QUERY_BLOCK", 4), ("FRAGMENT", 40)):
         monkeypatch.setattr(t, name, value)
@@ -56,9 +61,8 @@ def test_bounds_hold_and_prune():
     lower, upper = t.score_bounds(x[:20], low[cells, at], high[cells, at])
     true = x[:20] @ x.T
     assert (lower <= true).all() and (true <= upper).all()
-    keys = np.arange(len(x))
-    q, r, *_ = t.scan_fragment(keys[:20], keys, x[:20], cells, low, high, 5)
-    best = {i: set(np.argsort(-np.where(keys == i, -np.inf, true[i]))[:5].tolist()) for i in range(20)}
+    q, r, *_ = t.scan_fragment(x[:20], cells, low, high, 5)
+    best = {i: set(np.argsort(-true[i])[:5].tolist()) for i in range(20)}
     assert all(best[i] <= set(r[q == i].tolist()) for i in range(20))
     # Of 4,000 rows a query reads few exactly.
     assert len(q) / 20 < 40
