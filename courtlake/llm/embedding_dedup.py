@@ -11,6 +11,10 @@ A bucket is cut into blocks of ``BLOCK`` vectors, and pairs of blocks are
 separate tasks, so a third of all vectors in one bucket do not meet in one task.
 A pair of blocks returns link counts per vector and the edges of a spanning
 forest, never pairs.
+
+Buckets are found on keys alone; a vector travels only to the buckets that it
+shares with another.  A table has so many functions that unrelated vectors seldom
+share one, so that is about as often as a vector has near ones.
 """
 
 from __future__ import annotations
@@ -24,12 +28,13 @@ from pyspark.sql import functions as F
 
 from courtlake.llm import common as c
 from courtlake.llm.components import connected_components
-from courtlake.llm.vectors import matrix, valid_vectors
+from courtlake.llm.vectors import digest, matrix, usable
 
 THRESHOLD, TABLES, PROBES, SEED = 0.95, 8, 3, 20240229
 BLOCK = 1024
 #: Rows compared with a block at once, and found pairs looked at together.
 STRIP, PAIRS = 128, 1 << 13
+_NONE = np.iinfo(np.int64).max
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -83,6 +88,22 @@ def bucket_codes(x: np.ndarray, tables: int, functions: int, probes: int, seed:
     return out
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in double precision, however small or large they were."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def padded(lists: pa.ChunkedArray) -> np.ndarray:
+    """Lists of numbers as rows; a shorter one is filled up with numbers that no other row has."""
+    column = lists.combine_chunks()
+    lengths = np.diff(column.offsets.to_numpy())
+    out = -1 - np.arange(len(column) * int(lengths.max())).reshape(len(column), -1)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = column.flatten().to_numpy()
+    return out
+
+
 def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """``label`` (each row's smallest connected row) after the edges (a, b), by hooking and pointer jumping."""
     while True:
@@ -99,6 +120,11 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = least
 
 
+def functions_for(n: int, dim: int, probes: int) -> int:
+    """So many hash functions per table that a bucket holds a quarter of an unrelated vector at any size."""
+    return max(1, math.ceil(math.log(max(2, 4 * n * probes), 2 * (1 << max(1, (dim - 1).bit_length())))))
+
+
 def near_vectors(
     rows: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, probes: int = PROBES, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
@@ -115,51 +141,46 @@ def near_vectors(
       others and is never ``kept``.
     * Recall is that of the hashing (tested against brute force); no pair below
       the threshold is linked.
+    * An empty table gives no rows; other columns are ignored.
     """
     spark = rows.sparkSession
-    every = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vec"))
-    every = every.withColumn("digest", F.sha2(F.to_json(F.struct("vec")).cast("binary"), 256))
-    norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
-    valid = valid_vectors(every, "vec_id", "vec").withColumn("digest", F.sha2(F.to_json(F.struct("vec")).cast("binary"), 256))
-    classes = valid.filter(norm > 0).groupBy("digest").agg(F.first("vec").alias("vec"), F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    every = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vec"))
+    linkable = F.coalesce(usable(F.col("vec")) & F.exists("vec", lambda x: x != 0), F.lit(False))
+    links_with_none = every.filter(~linkable).select("vec_id", F.lit(0).cast("long").alias("links"), F.col("vec_id").alias("component"))
+    hashed = every.filter(linkable).select("vec_id", "vec", F.size("vec").alias("dim"), *digest("vec"))
+    same = ("dim", "d1", "d2")
+    classes = hashed.groupBy(*same).agg(F.first("vec").alias("vec"), F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     classes = c.materialise(classes.withColumn("key", F.monotonically_increasing_id()))
-    n = classes.count()
-    # The tables' buckets hold a few dozen unrelated vectors at any size.
-    dim = classes.agg(F.max(F.size("vec"))).first()[0] or 2
-    functions = max(1, math.ceil(math.log(max(2, n / 32), 2 * (1 << max(1, (dim - 1).bit_length())))))
+    sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    functions = {dim: functions_for(n, dim, probes) for dim, n in sizes.items()}
 
-    def hashed(batches):
+    def deal(batches):
         for b in batches:
-            sizes = np.array([len(v) for v in b.column("vec").to_pylist()])
-            for d in np.unique(sizes):
-                part = b.take(pa.array(np.flatnonzero(sizes == d)))
-                x = matrix(part.column("vec"))
-                x = x / np.abs(x).max(1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                codes = bucket_codes(x, tables, functions, probes)
-                numbered = (codes * tables + np.arange(tables)[None, :, None]).reshape(len(x), -1)
-                data = [(r.tobytes(), v.tobytes()) for r, v in zip(numbered, x, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), pa.array([int(d)] * len(x), pa.int32()), pa.array(numbered.tolist(), pa.list_(pa.int64())), pa.array([v for _, v in data], pa.binary()), part.column("copies")],
-                    names=["key", "dim", "buckets", "unit", "copies"],
-                )
-
-    units = c.materialise(classes.select("key", "vec", "copies").mapInArrow(hashed, "key long, dim int, buckets array<long>, unit binary, copies long"))
-    entries = units.select("key", "dim", F.explode(F.array_distinct("buckets")).alias("bucket"))
+            dims = b.column("dim").to_numpy()
+            for d in np.unique(dims):
+                part = b.take(pa.array(np.flatnonzero(dims == d)))
+                codes = bucket_codes(unit(matrix(part.column("vec"))), tables, functions[int(d)], probes)
+                numbered = (codes * tables + np.arange(tables)[None, :, None]).reshape(len(codes), -1)
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("dim"), pa.array(numbered.tolist(), pa.list_(pa.int64()))], names=["key", "dim", "buckets"])
+
+    # Only keys and buckets meet here; the vectors stay where they are.
+    entries = classes.select("key", "dim", "vec").mapInArrow(deal, "key long, dim int, buckets array<long>")
+    entries = c.materialise(entries.select("key", "dim", F.explode(F.array_distinct("buckets")).alias("bucket")))
     held = entries.groupBy("dim", "bucket").agg(F.count("*").alias("held")).filter("held > 1")
-    # Each entry goes to every pair of blocks that its own block is part of.
-    entries = entries.join(held, ["dim", "bucket"]).withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int"))
-    entries = entries.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", "dim", "bucket", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    )
-    met = entries.join(units.drop("dim"), "key").repartition(c.shuffle_partitions(spark), "dim", "bucket", "i", "j")
+    shared = entries.join(held, ["dim", "bucket"])
+    # A vector is fetched once, then goes along to each bucket that it shares with another, and there to every pair of
+    # blocks that its own block is part of.
+    of_key = shared.groupBy("key").agg(F.collect_list(F.struct("bucket", "held")).alias("shared"))
+    met = classes.select("key", "dim", "vec", "copies").join(of_key, "key").withColumn("buckets", F.transform("shared", lambda x: x["bucket"]))
+    met = met.withColumn("at", F.explode("shared")).withColumn("blocks", F.ceil(F.col("at.held") / BLOCK).cast("int"))
+    met = met.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("key", "dim", "vec", "copies", "buckets", F.col("at.bucket").alias("bucket"), "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def verify(table: pa.Table) -> pa.Table:
         keys, block = table.column("key").to_numpy(), table.column("block").to_numpy()
         i, j, bucket = (table.column(x)[0].as_py() for x in ("i", "j", "bucket"))
-        x = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(len(keys), -1)
-        codes = matrix(table.column("buckets"))
+        x = unit(matrix(table.column("vec")))
+        codes = padded(table.column("buckets"))
         copies = table.column("copies").to_numpy()
         links, label = np.zeros(len(keys), np.int64), np.arange(len(keys))
         for s in range(0, len(keys), STRIP):  # a strip of rows at a time, so memory is bounded by STRIP * BLOCK
@@ -172,8 +193,8 @@ def near_vectors(
             for t in range(0, len(a), PAIRS):
                 u, v = a[t : t + PAIRS], b[t : t + PAIRS]
                 # A pair counts in the first bucket that it shares.
-                shared = (codes[u][:, :, None] == codes[v][:, None, :]).any(2)
-                first = np.where(shared, codes[u], np.iinfo(np.int64).max).min(1) == bucket
+                both = (codes[u][:, :, None] == codes[v][:, None, :]).any(2)
+                first = np.where(both, codes[u], _NONE).min(1) == bucket
                 u, v = u[first], v[first]
                 np.add.at(links, u, copies[v])
                 np.add.at(links, v, copies[u])
@@ -189,20 +210,20 @@ def near_vectors(
             }
         )
 
+    met = met.repartition(c.shuffle_partitions(spark), "dim", "bucket", "i", "j")
     checked = c.materialise(met.groupBy("dim", "bucket", "i", "j").applyInArrow(verify, "key long, links long, root long"))
     counts = checked.filter("root is null").groupBy("key").agg(F.sum("links").alias("links"))
     parts = connected_components(checked.filter("root is not null").select(F.col("key").alias("a"), F.col("root").alias("b")))
-    named = classes.select("key", "digest", "least", "copies").join(parts.withColumnRenamed("node", "key"), "key", "left")
+    named = classes.select("key", *same, "least", "copies").join(parts.withColumnRenamed("node", "key"), "key", "left")
     named = named.withColumn("component", F.coalesce("component", "key")).join(counts, "key", "left")
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(smallest, "component").select(
-        "digest", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.col("component_id").alias("component")
+        *same, (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.col("component_id").alias("component")
     )
-    out = every.select("vec_id", "digest").join(named, "digest", "left")
-    component = F.when(F.col("links").isNull(), F.col("vec_id")).otherwise(F.col("component"))
+    out = hashed.select("vec_id", *same).join(named, list(same)).select("vec_id", "links", "component").unionByName(links_with_none)
     return out.select(
         "vec_id",
-        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"),
+        F.col("links").cast("long").alias("n_links"),
+        F.col("component").alias("component_id"),
+        F.coalesce(F.col("vec_id") == F.col("component"), F.lit(False)).alias("kept"),
     )
