@@ -64,7 +64,7 @@ def term_counts(text: bytes, cache: Terms) -> np.ndarray:
     out[WORD_TERMS : WORD_TERMS + SHAPE_TERMS] = np.bincount((packed >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.int64), minlength=SHAPE_TERMS)
     name = packed >> np.uint64(32)
     twice = float((name[1:] == name[:-1]).mean()) if len(name) > 1 else 0.0
-    distinct = len(np.unique(name)) / len(name)
+    distinct = len(set(words)) / len(words)
     out[WORD_TERMS + SHAPE_TERMS + min(11, int(twice * 12))] = 1
     out[WORD_TERMS + SHAPE_TERMS + 12 + min(11, int(distinct * 12))] = 1
     return out
@@ -133,11 +133,13 @@ def _sample(docs: DataFrame, labelled: DataFrame, per_class: int) -> tuple[np.nd
 
 
 def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
-    """Columns of each row's ``k`` largest values, the earlier column first among equals."""
-    least = np.partition(cosine, -k, axis=1)[:, [-k]]
-    above, level = cosine > least, cosine == least
-    keep = above | level & (np.cumsum(level, axis=1) <= k - above.sum(1, keepdims=True))
-    return np.nonzero(keep)[1].reshape(len(cosine), k)
+    """Columns of each row's ``k`` largest values, in their order; of equal values the earlier columns."""
+    at = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(cosine, at, 1).min(1, keepdims=True)
+    for row in np.flatnonzero((cosine >= least).sum(1) > k):  # more than k reach the k-th value
+        above, level = np.flatnonzero(cosine[row] > least[row]), np.flatnonzero(cosine[row] == least[row])
+        at[row] = np.concatenate([above, level[: k - len(above)]])
+    return np.sort(at, axis=1)
 
 
 def labelled_rows(labels: DataFrame, label: str, keep: Column) -> DataFrame:
