@@ -13,8 +13,9 @@ Documents are sets of word shingles; two link when
    with the OR of their token bitmaps and the range of their sizes.  A dual
    traversal drops pairs of nodes whose greatest possible overlap is too small,
    or that are in one component already, and verifies what is left exactly.
-   Large clusters are first compared with a pivot, then cut into blocks, whose
-   root nodes are pruned pairwise before the traversal goes on inside.
+   Large clusters are first compared with a pivot, then range-sorted by size and
+   cut into blocks; above the blocks the tree's levels are tables, whose node
+   pairs are pruned from the top down before the traversal goes on inside.
 5. Components over the links.
 
 Nothing is lost: steps 2 and 3 are exact filters and 4 verifies whole sets.
@@ -38,6 +39,8 @@ from courtlake.llm.components import connected_components
 WORDS, PERCENT = 5, 75
 #: Sets in one traversal; a larger cluster is cut into blocks.
 CLUSTER_SETS, BLOCK_SETS = 1024, 256
+#: Nodes under one of the next level (a power of two), and nodes of a cluster at which the tree has its top.
+FAN_BITS, TOP_NODES = 4, 64
 _KEY_BITS = 52
 _WORDS64 = 64  # 4096-bit signatures
 
@@ -190,70 +193,128 @@ def _linked(one: np.ndarray, n: int, other: np.ndarray, m: int, percent: int) ->
     return 100 * both >= percent * (n + m - both)
 
 
+def signature(tokens: list[np.ndarray]) -> tuple[bytes, int]:
+    """OR of the sets' token bitmaps, and how many tokens of one set share a bit at most."""
+    bitmap, crowd = np.zeros(64 * _WORDS64, bool), 0
+    for t in tokens:
+        bit = (t >> np.uint64(52)).astype(np.int64)
+        bitmap[bit] = True
+        crowd = max(crowd, int(np.bincount(bit).max()) if len(bit) else 0)
+    return np.packbits(bitmap).tobytes(), crowd
+
+
+def possible(pairs: pa.RecordBatch | pa.Table, percent: int) -> np.ndarray:
+    """Which pairs of nodes (columns ending in _i and _j) may hold linked sets, by their greatest possible overlap."""
+    low_i, low_j, high_i, high_j, crowd_i, crowd_j = (pairs.column(x).to_numpy().astype(np.int64) for x in ("low_i", "low_j", "high_i", "high_j", "crowd_i", "crowd_j"))
+    maps = [np.frombuffer(b"".join(pairs.column(x).to_pylist()), np.uint64).reshape(-1, _WORDS64) for x in ("bitmap_i", "bitmap_j")]
+    overlap = np.bitwise_count(maps[0] & maps[1]).sum(1).astype(np.int64) * np.minimum(crowd_i, crowd_j)
+    sizes = (100 * high_i >= percent * low_j) & (100 * high_j >= percent * low_i)
+    return sizes & (overlap * (100 + percent) >= percent * (low_i + low_j))
+
+
+_NODE = "cluster long, near boolean, node long, low int, high int, crowd int, bitmap binary"
+
+
+def _parents(nodes: DataFrame) -> DataFrame:
+    """One level up: every ``FAN`` nodes that follow each other, with the OR of their bitmaps and the range of their sizes."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        maps = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), np.uint64).reshape(-1, _WORDS64)
+        row = {x: table.column(x)[:1] for x in ("cluster", "near", "node")}
+        row |= {x: pa.array([f(table.column(x).to_numpy())], pa.int32()) for x, f in (("low", np.min), ("high", np.max), ("crowd", np.max))}
+        return pa.table(row | {"bitmap": pa.array([np.bitwise_or.reduce(maps).tobytes()])})
+
+    up = nodes.withColumn("node", F.shiftright("node", FAN_BITS))
+    return up.groupBy("cluster", "near", "node").applyInArrow(merge, _NODE)
+
+
+def _node_pairs(level: DataFrame, above: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs of this level's nodes that may hold linked sets, below the pairs found ``above``, or all of a cluster if there are none."""
+    of = level.columns[1:]
+    left = level.select("cluster", *(F.col(x).alias(f"{x}_i") for x in of))
+    right = level.select("cluster", *(F.col(x).alias(f"{x}_j") for x in of))
+    if above is None:
+        met = left.join(right, "cluster")
+    else:
+        up = [F.col(f"{x}_{s}").alias(f"up_{x}_{s}") for s in "ij" for x in ("near", "node")]
+        met = above.select("cluster", *up)
+        for side, table in (("i", left), ("j", right)):
+            parent = table.withColumn(f"up_near_{side}", F.col(f"near_{side}")).withColumn(f"up_node_{side}", F.shiftright(f"node_{side}", FAN_BITS))
+            met = met.join(parent, ["cluster", f"up_near_{side}", f"up_node_{side}"])
+    # Sets linked through the pivot are in one component: no pair of them is looked at.
+    met = met.filter("not (near_i and near_j) and (near_i < near_j or (near_i = near_j and node_i <= node_j))")
+    met = met.filter(f"100L * high_i >= {percent}L * low_j and 100L * high_j >= {percent}L * low_i")
+    columns = ["cluster", "near_i", "node_i", "near_j", "node_j", *(f"{x}_{s}" for x in ("low", "high", "crowd", "bitmap") for s in "ij")]
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(possible(b, percent))).select(columns[:5])
+
+    return met.select(*columns).mapInArrow(prune, "cluster long, near_i boolean, node_i long, near_j boolean, node_j long")
+
+
 def _large_clusters(large: DataFrame, percent: int) -> DataFrame:
-    """Links in clusters too large for one traversal: pivot, blocks, pairs of blocks."""
+    """Links in clusters too large for one traversal.
+
+    All sets are compared with one of them, the pivot.  The others and those linked with it are range-sorted by size and
+    least token and cut into blocks, the lowest nodes of a tree whose levels are distributed tables.  The dual traversal
+    goes down from pairs of the highest nodes on bitmaps and size ranges alone; only the blocks of pairs left at the end
+    fetch their sets.
+    """
     spark = large.sparkSession
+    parts = c.shuffle_partitions(spark)
     pivot = large.groupBy("cluster").agg(F.min_by(F.struct("key", "n", "tokens"), "key").alias("pivot"))
 
     def against_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near = []
+            near, least = [], []
             for n, t, p in zip(b.column("n").to_pylist(), b.column("tokens").to_pylist(), b.column("pivot").to_pylist(), strict=True):
-                near.append(_linked(np.frombuffer(t, np.uint64), n, np.frombuffer(p["tokens"], np.uint64), p["n"], percent))
+                mine = np.frombuffer(t, np.uint64)
+                near.append(_linked(mine, n, np.frombuffer(p["tokens"], np.uint64), p["n"], percent))
+                least.append(int(c.mix(mine).min() >> np.uint64(1)) if len(mine) else 0)
             pivots = pa.array([p["key"] for p in b.column("pivot").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("cluster"), b.column("key"), b.column("n"), b.column("tokens"), pivots, pa.array(near, pa.bool_())], names=["cluster", "key", "n", "tokens", "hub", "near"]
-            )
+            columns = [b.column("cluster"), b.column("key"), b.column("n"), b.column("tokens"), pivots, pa.array(near, pa.bool_()), pa.array(least, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["cluster", "key", "n", "tokens", "hub", "near", "least"])
 
-    marked = c.materialise(
-        large.join(pivot, "cluster").mapInArrow(against_pivot, "cluster long, key long, n int, tokens binary, hub long, near boolean")
-    )
-    blocks = marked.groupBy("cluster", "near").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("blocks"))
-    cut = marked.join(blocks, ["cluster", "near"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    marked = large.join(pivot, "cluster").mapInArrow(against_pivot, "cluster long, key long, n int, tokens binary, hub long, near boolean, least long")
+    order = ["cluster", "near", "n", "least", "key"]
+    marked = c.materialise(marked.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
 
     def build(table: pa.Table) -> pa.Table:
-        tokens, n = _tokens(table.column("tokens")), table.column("n").to_numpy()
-        bitmap = np.zeros(64 * _WORDS64, bool)
-        crowd = 0
-        for t in tokens:
-            bit = (t >> np.uint64(52)).astype(np.int64)
-            bitmap[bit] = True
-            crowd = max(crowd, int(np.bincount(bit).max()) if len(bit) else 0)
+        n = table.column("n").to_numpy()
+        bitmap, crowd = signature(_tokens(table.column("tokens")))
         row = {
-            "cluster": table.column("cluster")[:1], "near": table.column("near")[:1], "block": table.column("block")[:1],
+            "cluster": table.column("cluster")[:1], "near": table.column("near")[:1], "node": table.column("node")[:1],
             "low": pa.array([int(n.min())], pa.int32()), "high": pa.array([int(n.max())], pa.int32()), "crowd": pa.array([crowd], pa.int32()),
-            "bitmap": pa.array([np.packbits(bitmap).tobytes()]), "blob": pa.array([c._ipc(table.select(["key", "n", "tokens"]))], pa.binary()),
+            "bitmap": pa.array([bitmap]), "blob": pa.array([c._ipc(table.select(["key", "n", "tokens"]))], pa.binary()),
         }
         return pa.table(row)
 
-    nodes = c.materialise(
-        cut.groupBy("cluster", "near", "block").applyInArrow(
-            build, "cluster long, near boolean, block long, low int, high int, crowd int, bitmap binary, blob binary"
-        )
-    )
-    left = nodes.select("cluster", *(F.col(x).alias(f"{x}_i") for x in nodes.columns[1:]))
-    right = nodes.select("cluster", *(F.col(x).alias(f"{x}_j") for x in nodes.columns[1:]))
-    # Blocks linked through the pivot are in one component: no pair of them is looked at.
-    pairs = left.join(right, "cluster").filter(
-        "not (near_i and near_j) and (near_i < near_j or (near_i = near_j and block_i <= block_j))"
-        f" and 100L * high_i >= {percent}L * low_j and 100L * high_j >= {percent}L * low_i"
-    )
+    # A block is sets that follow each other in the sort, BLOCK_SETS at most.
+    cut = marked.withColumn("node", (F.col("at") / BLOCK_SETS).cast("long"))
+    blocks = c.materialise(cut.groupBy("cluster", "near", "node").applyInArrow(build, _NODE + ", blob binary"))
+    levels = [blocks.drop("blob")]
+    while levels[-1].groupBy("cluster").count().filter(F.col("count") > TOP_NODES).limit(1).count() and len(levels) < 12:
+        levels.append(c.materialise(_parents(levels[-1])))
+    pairs = None
+    for level in reversed(levels):
+        pairs = c.materialise(_node_pairs(level, pairs, percent))
+    blob = blocks.select("cluster", "near", "node", "blob")
+    one, two = ([F.col(x).alias(f"{x}_{s}") for x in ("near", "node", "blob")] for s in "ij")
+    fetched = pairs.join(blob.select("cluster", *one), ["cluster", "near_i", "node_i"]).join(blob.select("cluster", *two), ["cluster", "near_j", "node_j"])
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
                 row = {k: b.column(k)[r].as_py() for k in b.schema.names}
-                both = int(np.bitwise_count(np.frombuffer(row["bitmap_i"], np.uint8) & np.frombuffer(row["bitmap_j"], np.uint8)).sum())
-                if both * min(row["crowd_i"], row["crowd_j"]) * (100 + percent) < percent * (row["low_i"] + row["low_j"]):
-                    continue
-                one = row["near_i"] == row["near_j"] and row["block_i"] == row["block_j"]
+                one = row["near_i"] == row["near_j"] and row["node_i"] == row["node_j"]
                 sides = [pa.ipc.open_stream(row[x]).read_all() for x in (["blob_i"] if one else ["blob_i", "blob_j"])]
                 table = pa.concat_tables(sides)
                 same = np.concatenate([np.full(s.num_rows, 0 if row[x] else -1) for s, x in zip(sides, ("near_i", "near_j"), strict=False)])
                 links = tree_links(table.column("key").to_numpy(), table.column("n").to_numpy(), _tokens(table.column("tokens")), percent, same)
                 yield from links.to_batches()
 
-    spread = pairs.repartition(c.shuffle_partitions(spark) * 2, "cluster", "near_i", "block_i", "near_j", "block_j")
+    spread = fetched.repartition(parts * 2, "cluster", "near_i", "node_i", "near_j", "node_j")
     found = spread.mapInArrow(traverse, "a long, b long")
     return found.union(marked.filter("near").select(F.col("key").alias("a"), F.col("hub").alias("b")))
 
@@ -371,11 +432,7 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     joined = classes.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     names = joined.groupBy("component").agg(F.min("class_id").alias("component_id"))
     named = joined.join(names, "component").select("digest", "class_id", "n_copies", "component_id")
-    alone = F.col("n") == 0
-    return rows.join(named, "digest", "left").select(
-        "doc_id",
-        F.col("n").cast("long").alias("n_shingles"),
-        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(alone, F.lit(1)).otherwise(F.col("n_copies")).cast("long").alias("n_copies"),
-    )
+    n = F.col("n").cast("long").alias("n_shingles")
+    # Rows without shingles all have one digest; they stay out of the join.
+    alone = rows.filter("n = 0").select("doc_id", n, F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"))
+    return rows.filter("n > 0").join(named, "digest", "left").select("doc_id", n, "component_id", "class_id", F.col("n_copies").cast("long")).unionByName(alone)
