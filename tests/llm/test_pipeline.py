@@ -63,3 +63,29 @@ def test_toxic_rows_go_with_and_without_an_id(spark, tmp_path):
     out = corpus_pipeline.drop_toxic(spark, spark.createDataFrame(docs + extra, SCHEMA), str(tmp_path))
     got = [(r["doc_id"], "idiot" in r["text"]) for r in out.collect()]
     assert len(got) == 301 and not any(bad for _, bad in got) and [i for i, _ in got].count(None) == 1
+
+
+def test_ids_of_copies_are_those_of_no_document(spark):
+    rows = [(i, words(20 + i, f"x{i}_"), "en", "web", 0) for i in range(-30, 30)]
+    out = corpus_pipeline.to_targets(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    by_id = {}
+    for r in out:
+        by_id.setdefault(r["doc_id"], []).append(r["text"].split("_")[0])
+    real = {i: f"x{i}" for i in range(-30, 30)}
+    assert all(len(t) == 1 for t in by_id.values()) and len(by_id) > 60
+    assert all(t == [real[i]] for i, t in by_id.items() if i in real)
+    wide = [(-(2**63), words(30, "a"), "en", "web", 0), (2**63 - 1, words(31, "b"), "en", "web", 0), *((i, words(20 + i, "c"), "en", "web", 0) for i in range(9))]
+    out = corpus_pipeline.to_targets(spark, spark.createDataFrame(wide, SCHEMA), "").collect()
+    assert out and {r["doc_id"] for r in out} <= {i for i, *_ in wide}
+
+
+def test_stages_on_an_empty_table_and_on_nulls(spark, tmp_path):
+    labels = [(i, 1, i % 2) for i in range(10)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for rows, left in (([], 0), ([(None, None, None, None, None), (1, "", "en", None, 0), (1, "", "en", None, 0)], 3)):
+        docs = spark.createDataFrame(rows, SCHEMA)
+        for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_lines, corpus_pipeline.one_of_each):
+            out = stage(spark, docs, str(tmp_path))
+            assert out.count() == left and out.columns == docs.columns
+        assert corpus_pipeline.to_targets(spark, docs, "").count() == 0
+        assert corpus_pipeline.to_sequences(spark, docs, "").count() == left
