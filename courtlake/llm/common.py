@@ -37,8 +37,9 @@ CHUNK_BYTES = 4 << 20
 ROW_BYTES = 64
 #: ``chunk << ROW_BITS`` leaves room for the row's place in its chunk.
 ROW_BITS = 17
-#: Hash-range buckets per shuffle partition, so that a bucket's arrays stay small.
-BUCKETS_PER_PARTITION = 2
+#: Hash-range buckets per shuffle partition, and text bytes behind one bucket at most, so that a bucket's arrays stay small
+#: whatever the number of partitions.
+BUCKETS_PER_PARTITION, BUCKET_BYTES = 2, 64 << 20
 #: Words whose hash a Python worker remembers before it starts afresh.
 CACHED_WORDS = 400_000
 
@@ -77,6 +78,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_bytes(chunks: DataFrame) -> int:
+    return chunks.agg(F.sum("text_bytes")).first()[0] or 0
+
+
+def bucket_count(spark: SparkSession, text_bytes: int) -> int:
+    """Hash-range buckets for the exchange of a corpus of so many bytes."""
+    return max(shuffle_partitions(spark) * BUCKETS_PER_PARTITION, -(-text_bytes // BUCKET_BYTES))
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that are read, so other columns cannot clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -95,8 +95,8 @@ def line_dedup(
     * Other columns are ignored.
     """
     spark = docs.sparkSession
-    buckets = c.shuffle_partitions(spark) * c.BUCKETS_PER_PARTITION
     chunks = c.pack_documents(c.id_and_text(docs, id_col, text_col))
+    buckets = c.bucket_count(spark, c.text_bytes(chunks))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -333,8 +333,8 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     * Other columns are ignored.
     """
     spark = docs.sparkSession
-    buckets = c.shuffle_partitions(spark) * c.BUCKETS_PER_PARTITION
     chunks = c.pack_documents(c.id_and_text(docs, id_col, text_col))
+    buckets = c.bucket_count(spark, c.text_bytes(chunks))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = c.WordHashes()

@@ -14,6 +14,10 @@ Words are runs of anything but ASCII white space.  A repeated window of
 Only windows around a hit travel in the second exchange.  Both exchanges send
 a value once per chunk whatever its frequency, so a passage in a third of all
 documents is no hot key.
+
+Equality is that of hashes: words by 64 bits, windows by 96 bits of their words'
+hashes.  Two different words of one hash (a chance of 3e-4 among 10**8 different
+words) would pass for the same; the words themselves are not compared.
 """
 
 from __future__ import annotations
@@ -86,9 +90,9 @@ def substring_dedup(
     """
     spark = docs.sparkSession
     block = window // 2 + 1
-    buckets = c.shuffle_partitions(spark) * c.BUCKETS_PER_PARTITION
     chunks = c.pack_documents(c.id_and_text(docs, id_col, text_col))
-    total = max(2, (chunks.agg(F.sum("text_bytes")).first()[0] or 0) // 5)
+    size = c.text_bytes(chunks)
+    buckets, total = c.bucket_count(spark, size), max(2, size // 5)
     # Enough bits that chance hits stay few at any size; the second exchange is exact in any case.
     bits = min(64, math.ceil(math.log2(total)) + math.ceil(math.log2(max(2, total / block))) - 4)
     bits = max(bits, 34)
