@@ -43,6 +43,8 @@ from courtlake.llm import common as c
 CAPACITY, END_ID = 2048, 0
 #: A sweep takes pieces of at least this part of the longest one left.
 FRACTION = 0.5
+#: Rows of a sweep per task; they are a few numbers each.
+SWEEP_ROWS = 1 << 16
 
 
 def default_tokenizer() -> str:
@@ -124,13 +126,13 @@ def _lookup(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(pa.table({n: pa.array(v, pa.int64()) for n, v in zip(names.split(), columns, strict=True)})))
 
 
-def _by_size(table: DataFrame, key: str) -> tuple[DataFrame, dict[int, int]]:
+def _by_size(table: DataFrame, key: str, tasks: int) -> tuple[DataFrame, dict[int, int]]:
     """(``key``, ``size``) range-sorted, each row with its ``rank`` (from 0) among those of its size; rows by size.
 
     A size that many rows have spreads over the ranges, as ``key`` is sorted on too.
     """
     spark = table.sparkSession
-    dealt = table.repartitionByRange(c.shuffle_partitions(spark), F.col("size").desc(), key).sortWithinPartitions(F.col("size").desc(), key)
+    dealt = table.repartitionByRange(tasks, F.col("size").desc(), key).sortWithinPartitions(F.col("size").desc(), key)
     rows = c.materialise(dealt.select(key, "size", F.monotonically_increasing_id().alias("at")))
     runs = rows.groupBy(F.shiftright("at", 33).alias("part"), "size").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     held: dict[int, int] = {}
@@ -171,7 +173,7 @@ def plan_levels(gaps: dict[int, int], pieces: dict[int, int], longest: int) -> t
     return pushed, popped
 
 
-def _sweep(gaps: DataFrame, pieces: DataFrame, held: dict[int, int], placed: dict[int, int], part: dict[int, int]) -> tuple[DataFrame, dict[int, int]]:
+def _sweep(gaps: DataFrame, pieces: DataFrame, held: dict[int, int], placed: dict[int, int], part: dict[int, int], tasks: int) -> tuple[DataFrame, dict[int, int]]:
     """One sweep: (tie, size, sequence) of the pieces it places, and how many of each size."""
     spark = gaps.sparkSession
     pushed, popped = plan_levels(held, part, max(part))
@@ -187,14 +189,16 @@ def _sweep(gaps: DataFrame, pieces: DataFrame, held: dict[int, int], placed: dic
     claiming = pieces.join(claims, F.col("size") == F.col("p_size")).filter("rank >= low and rank < high")
     claiming = claiming.select((F.col("base") - (F.col("rank") - F.col("low"))).alias("level"), "order", F.lit(None).cast("long").alias("sequence"), "tie", "size")
     along = Window.partitionBy("level").orderBy("order")
-    met = open_slots.unionByName(claiming).withColumn("sequence", F.coalesce("sequence", F.lag("sequence").over(along)))
+    met = open_slots.unionByName(claiming).repartition(tasks, "level").withColumn("sequence", F.coalesce("sequence", F.lag("sequence").over(along)))
     return c.materialise(met.filter("tie is not null").select("tie", "size", "sequence")), take
 
 
 def _assign(made: DataFrame, capacity: int) -> DataFrame | None:
     """(tie, size, sequence, sweep) of all pieces shorter than a sequence; None if there are none."""
     spark = made.sparkSession
-    pieces, left = _by_size(made.filter(F.col("length") < capacity).select("tie", F.col("length").alias("size")), "tie")
+    short = made.filter(F.col("length") < capacity).select("tie", F.col("length").alias("size"))
+    tasks = -(-short.count() // SWEEP_ROWS) or 1
+    pieces, left = _by_size(short, "tie", tasks)
     if not left:
         return None
     large = {s: n for s, n in left.items() if 2 * s > capacity}
@@ -211,21 +215,21 @@ def _assign(made: DataFrame, capacity: int) -> DataFrame | None:
     sweep = 0
     while left:
         longest, sweep = max(left), sweep + 1
-        ranked, held = _by_size(gaps.filter(F.col("size") >= min(left)), "sequence")
+        ranked, held = _by_size(gaps.filter(F.col("size") >= min(left)), "sequence", tasks)
         part = {s: n for s, n in left.items() if s >= FRACTION * longest}
         roomiest = max(held, default=0)
         if longest > roomiest:
             new = -(-sum(s * n for s, n in part.items() if s > roomiest) // capacity)
-            ranked = ranked.unionByName(spark.range(new).select((F.col("id") + opened).alias("sequence"), F.lit(capacity).alias("size"), F.col("id").alias("rank")))
+            ranked = ranked.unionByName(spark.range(0, new, 1, -(-new // SWEEP_ROWS)).select((F.col("id") + opened).alias("sequence"), F.lit(capacity).alias("size"), F.col("id").alias("rank")))
             held, opened = {**held, capacity: new}, opened + new
-        met, take = _sweep(ranked, pieces, held, placed, part)
+        met, take = _sweep(ranked, pieces, held, placed, part, tasks)
         for size, n in take.items():
             placed[size] = placed.get(size, 0) + n
             left[size] -= n
         left = {s: n for s, n in left.items() if n}
         assigned = assigned.unionByName(met.withColumn("sweep", F.lit(sweep)))
         shrunk = ranked.select("sequence", "size").unionByName(met.select("sequence", (-F.col("size")).alias("size")))
-        gaps = shrunk.groupBy("sequence").agg(F.sum("size").cast("int").alias("size"))
+        gaps = shrunk.repartition(tasks, "sequence").groupBy("sequence").agg(F.sum("size").cast("int").alias("size"))
     return assigned
 
 
