@@ -164,8 +164,8 @@ def near_vectors(
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("dim"), pa.array(numbered.tolist(), pa.list_(pa.int64()))], names=["key", "dim", "buckets"])
 
     # Only keys and buckets meet here; the vectors stay where they are.
-    entries = classes.select("key", "dim", "vec").mapInArrow(deal, "key long, dim int, buckets array<long>")
-    entries = c.materialise(entries.select("key", "dim", F.explode(F.array_distinct("buckets")).alias("bucket")))
+    entries = c.materialise(classes.select("key", "dim", "vec").mapInArrow(deal, "key long, dim int, buckets array<long>"))
+    entries = entries.select("key", "dim", F.explode(F.array_distinct("buckets")).alias("bucket"))
     held = entries.groupBy("dim", "bucket").agg(F.count("*").alias("held")).filter("held > 1")
     shared = entries.join(held, ["dim", "bucket"])
     # A vector is fetched once, then goes along to each bucket that it shares with another, and there to every pair of
