@@ -127,13 +127,17 @@ byday AS (SELECT season, day, SUM(CASE WHEN home_conf = 'East' THEN east_win ELS
                  SUM(CASE WHEN home_conf = 'West' THEN east_win ELSE 0 END) AS we, SUM(CASE WHEN home_conf = 'West' THEN 1 ELSE 0 END) AS wg FROM x GROUP BY season, day),
 cum AS (SELECT days.season, days.day, {", ".join(f"COALESCE(SUM({c}) OVER (PARTITION BY days.season ORDER BY days.day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS {c}" for c in ("ee", "eg", "we", "wg"))}
         FROM days LEFT JOIN byday ON days.season = byday.season AND days.day = byday.day),
-pct AS (SELECT *, CAST(ee AS DOUBLE) / NULLIF(eg, 0) AS at_east, CAST(we AS DOUBLE) / NULLIF(wg, 0) AS at_west FROM cum)
+pct AS (SELECT *, CAST(ee AS DOUBLE) / NULLIF(eg, 0) AS at_east, CAST(we AS DOUBLE) / NULLIF(wg, 0) AS at_west,
+               CAST(eg - ee AS DOUBLE) / NULLIF(eg, 0) AS west_at_east, CAST(wg - we AS DOUBLE) / NULLIF(wg, 0) AS west_at_west FROM cum)
 {only}"""
 
 
+EAST = "COALESCE((at_east + at_west) / 2, at_east, at_west, 0.0)"
+WEST = "COALESCE((west_at_east + west_at_west) / 2, west_at_east, west_at_west, 0.0)"
+
+
 def east_west_record(d: Dialect) -> str:
-    mean = "COALESCE((at_east + at_west) / 2, at_east, at_west, 0.0)"
-    return _cross(d, f"SELECT season, day, {d.r(mean, 4)} AS east_adjusted_record, CAST(eg + wg AS BIGINT) AS games_played_east_vs_west FROM pct")
+    return _cross(d, f"SELECT season, day, {d.r(EAST, 4)} AS east_adjusted_record, {d.r(WEST, 4)} AS west_adjusted_record, CAST(eg + wg AS BIGINT) AS games_played_east_vs_west FROM pct")
 
 
 def east_record_at_east(d: Dialect) -> str:
@@ -141,7 +145,7 @@ def east_record_at_east(d: Dialect) -> str:
 
 
 def west_record_at_west(d: Dialect) -> str:
-    return _cross(d, f"SELECT season, day, {d.r('COALESCE(1 - at_west, 0.0)', 4)} AS west_at_west, CAST(wg AS BIGINT) AS games_played FROM pct")
+    return _cross(d, f"SELECT season, day, {d.r('COALESCE(west_at_west, 0.0)', 4)} AS west_at_west, CAST(wg AS BIGINT) AS games_played FROM pct")
 
 
 def rested_days(d: Dialect) -> str:
@@ -383,17 +387,6 @@ wide AS (SELECT g.game_id, g.season, g.game_date, g.home, g.away, th.conf AS hom
   JOIN teams th ON th.team = g.home JOIN teams ta ON ta.team = g.away)"""
 
 
-def wide_features(d: Dialect) -> str:
-    casts = ", ".join(f"CAST({c}_{s} AS BIGINT) AS {c}_{s}" for s in ("HT", "VT") for c in ("games_played", "last_win", "rested"))
-    plain = ", ".join(f"{x}_L{n}_{s}" for s in ("HT", "VT") for n in (5, 13, 34) for x in ("record", "pts_diff_avg"))
-    return f"WITH {_wide_cte(d)} SELECT game_id, season, game_date, home, away, home_conf, away_conf, CAST(win AS BIGINT) AS win, {casts}, {plain} FROM wide"
-
-
-def delta_features(d: Dialect) -> str:
-    cols = ", ".join(f"{d.r(f'{x}_L{n}_HT - {x}_L{n}_VT', 4)} AS {x}_L{n}_delta" for n in (5, 13, 34) for x in ("record", "pts_diff_avg"))
-    return f"WITH {_wide_cte(d)} SELECT game_id, {cols}, CAST(rested_HT - rested_VT AS BIGINT) AS rested_delta FROM wide"
-
-
 def momentum(d: Dialect) -> str:
     return f"WITH {_wide_cte(d)} SELECT game_id, {d.r('(record_L5_HT - record_L5_VT) - (record_L34_HT - record_L34_VT)', 4)} AS record_momentum FROM wide"
 
@@ -412,15 +405,15 @@ def filter_minimum_games(d: Dialect) -> str:
 
 def _ew(d: Dialect, select: str) -> str:
     return _cross(d, "").rstrip() + f""",
-ew AS (SELECT g.game_id, th.conf AS hc, ta.conf AS ac, {d.r('COALESCE((at_east + at_west) / 2, at_east, at_west, 0.0)', 4)} AS east,
-              {d.r('COALESCE(at_east, 0.0)', 4)} AS ee_pct, {d.r('COALESCE(1 - at_west, 0.0)', 4)} AS ww_pct, eg, wg
+ew AS (SELECT g.game_id, th.conf AS hc, ta.conf AS ac, {d.r(EAST, 4)} AS east, {d.r(WEST, 4)} AS west,
+              {d.r('COALESCE(at_east, 0.0)', 4)} AS ee_pct, {d.r('COALESCE(west_at_west, 0.0)', 4)} AS ww_pct, eg, wg
        FROM games g JOIN pct ON pct.season = g.season AND pct.day = g.game_date JOIN teams th ON th.team = g.home JOIN teams ta ON ta.team = g.away)
 {select}"""
 
 
 def conference_delta(d: Dialect) -> str:
     sign = "(CASE WHEN hc = 'East' THEN 1 ELSE 0 END - CASE WHEN ac = 'East' THEN 1 ELSE 0 END)"
-    return _ew(d, f"SELECT game_id, {d.r(f'{sign} * (east - (1 - east))', 4)} AS conference_delta FROM ew")
+    return _ew(d, f"SELECT game_id, {d.r(f'{sign} * (east - west)', 4)} AS conference_delta FROM ew")
 
 
 def conference_vs_conference(d: Dialect) -> str:
@@ -439,6 +432,6 @@ FEATURES = [
     sos_adjusted_home_record, sos_adjusted_away_record,
     game_difficulty, gds_home, gds_away, last_season_record, last_season_home_record, last_season_away_record, adjusted_last_season_record,
     adjusted_last_season_home_record, adjusted_last_season_away_record, standings,
-    playoff_flags, h2h_records, games_remaining, wide_features, delta_features, momentum, filter_same_conference, filter_different_conference,
+    playoff_flags, h2h_records, games_remaining, momentum, filter_same_conference, filter_different_conference,
     filter_minimum_games, conference_delta, conference_vs_conference, sample_weights,
 ]
