@@ -421,8 +421,11 @@ def conference_vs_conference(d: Dialect) -> str:
 
 
 def sample_weights(d: Dialect) -> str:
-    return f"""WITH {_wide_cte(d)}, o AS (SELECT *, DENSE_RANK() OVER (ORDER BY season) AS k FROM wide), m AS (SELECT MAX(k) AS top FROM o)
-SELECT game_id, {d.r('least(greatest(least(games_played_HT, games_played_VT) / 3.0e1, 0.0e0), 1.0e0) * exp(-1.0e-1 * (top - k))', 6)} AS weight FROM o CROSS JOIN m"""
+    """Spark ranks the seasons, not the games."""
+    ranks = "o AS (SELECT w.*, s.k, s.top FROM wide w JOIN s ON s.season = w.season)" if d.spark else "m AS (SELECT *, DENSE_RANK() OVER (ORDER BY season) AS k FROM wide), t AS (SELECT MAX(k) AS top FROM m), o AS (SELECT * FROM m CROSS JOIN t)"
+    seasons = "s AS (SELECT season, ROW_NUMBER() OVER (ORDER BY season) AS k, COUNT(*) OVER () AS top FROM (SELECT DISTINCT season FROM wide) q), " if d.spark else ""
+    return f"""WITH {_wide_cte(d)}, {seasons}{ranks}
+SELECT game_id, {d.r('least(greatest(least(games_played_HT, games_played_VT) / 3.0e1, 0.0e0), 1.0e0) * exp(-1.0e-1 * (top - k))', 6)} AS weight FROM o"""
 
 
 FEATURES = [

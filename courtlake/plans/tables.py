@@ -99,17 +99,33 @@ SELECT g.game_id, CAST(CASE WHEN h.home IS NULL THEN 0 WHEN o.arena IS NULL THEN
 LEFT JOIN own o ON o.season = g.season AND o.home = g.home AND o.arena = g.arena LEFT JOIN has h ON h.season = g.season AND h.home = g.home"""
 
 
+def _in_order(d: Dialect, table: str, name: str, by: str = "game_date") -> str:
+    """``name``: game_id with its place ``rn`` along (``by``, game_id), nulls last, and the number ``n`` of all rows.
+
+    Spark ranks within a value and adds what the values before it hold, so that no task sorts the whole table.
+    """
+    if not d.spark:
+        return f"{name} AS (SELECT game_id, ROW_NUMBER() OVER (ORDER BY {by} NULLS LAST, game_id) AS rn, COUNT(*) OVER () AS n FROM {table})"
+    return f"""{name}_held AS (SELECT {by} AS v, COUNT(*) AS held FROM {table} GROUP BY {by}),
+{name}_before AS (SELECT v, SUM(held) OVER (ORDER BY v NULLS LAST) - held AS before, SUM(held) OVER () AS n FROM {name}_held),
+{name} AS (SELECT t.game_id, b.before + ROW_NUMBER() OVER (PARTITION BY t.{by} ORDER BY t.game_id) AS rn, b.n FROM {table} t JOIN {name}_before b ON b.v <=> t.{by})"""
+
+
 def temporal_split(d: Dialect) -> str:
-    return f"""WITH {GAMES}, k AS (SELECT game_id, ROW_NUMBER() OVER (ORDER BY game_date, game_id) AS rn, COUNT(*) OVER () AS n FROM games)
+    return f"""WITH {GAMES}, {_in_order(d, "games", "k")}
 SELECT game_id, CASE WHEN rn > n - CAST(floor(n * 2.0e-1) AS BIGINT) THEN 'test' WHEN rn > n - CAST(floor(n * 2.0e-1) AS BIGINT) - CAST(floor(n * 2.0e-1) AS BIGINT) THEN 'val' ELSE 'train' END AS split FROM k"""
 
 
 def fixed_holdout_split(d: Dialect) -> str:
     return f"""WITH {GAMES}, held AS (SELECT DISTINCT game_id FROM games WHERE season = '1999/00'),
-rest AS (SELECT game_id, ROW_NUMBER() OVER (ORDER BY game_date, game_id) AS rn, COUNT(*) OVER () AS n FROM games WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.game_id = games.game_id))
+others AS (SELECT game_id, game_date FROM games WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.game_id = games.game_id)), {_in_order(d, "others", "rest")}
 SELECT game_id, 'test' AS split FROM held UNION ALL SELECT game_id, CASE WHEN rn > n - CAST(floor(n * 2.5e-1) AS BIGINT) THEN 'val' ELSE 'train' END FROM rest"""
 
 
+def split_sizes(d: Dialect) -> str:
+    return f"SELECT split, COUNT(*) AS n, MIN(game_id) AS first_game FROM ({temporal_split(d)}) s GROUP BY split"
+
+
 def make_holdout_set(d: Dialect) -> str:
     return f"WITH {GAMES} SELECT DISTINCT game_id FROM games WHERE season >= '1998/99'"
 
@@ -179,6 +195,16 @@ def matchup_accuracy(d: Dialect) -> str:
     return f"WITH {_scored(d)} SELECT CASE WHEN home_conf = away_conf THEN 'same' ELSE 'different' END AS matchup, {_acc(d)} AS accuracy, COUNT(*) AS n FROM ok GROUP BY 1"
 
 
+def overtime_accuracy(d: Dialect) -> str:
+    return f"""WITH {_scored(d)}, o AS (SELECT *, CASE WHEN game_id % 17 = 0 THEN 1 + game_id % 3 END AS overtimes FROM ok)
+SELECT CASE WHEN overtimes > 0 THEN 'Overtime' ELSE 'Regular' END AS game_type, {_acc(d)} AS accuracy, COUNT(*) AS n FROM o GROUP BY 1"""
+
+
+def neutral_court_accuracy(d: Dialect) -> str:
+    return f"""WITH {_scored(d)}, o AS (SELECT ok.*, COALESCE(g.label = 'Neutral Cup', false) AS is_neutral FROM ok JOIN games g ON g.game_id = ok.game_id)
+SELECT CASE WHEN is_neutral THEN 'Neutral Court' ELSE 'Home Court' END AS court_type, {_acc(d)} AS accuracy, COUNT(*) AS n FROM o GROUP BY 1"""
+
+
 def season_phase_accuracy(d: Dialect) -> str:
     g = "least(games_played_HT, games_played_VT) + 1"
     phase = "CASE " + " ".join(f"WHEN {g} <= {k} THEN '{k:02d}'" for k in (10, 20, 30, 40, 50, 60, 70, 80, 82)) + " END"
@@ -193,21 +219,20 @@ SELECT bin, COUNT(*) AS n, {d.r('CAST(SUM(pu) AS DOUBLE) / COUNT(*) / 1e4', 4)}
 
 
 def brier_ece(d: Dialect) -> str:
-    return f"""WITH {_scored(d)}, b AS (SELECT *, CAST(greatest((pu + 999) / 1000, 1) AS BIGINT) AS bin FROM (SELECT *, CAST(floor(0) AS BIGINT) AS z FROM ok) q),
-bb AS (SELECT y, correct, pu, CAST(greatest(ceil(pu / 1.0e3), 1) AS BIGINT) AS bin FROM ok),
+    return f"""WITH {_scored(d)}, bb AS (SELECT y, correct, pu, CAST(greatest(ceil(pu / 1.0e3), 1) AS BIGINT) AS bin FROM ok),
 per AS (SELECT bin, COUNT(*) AS n, ABS(SUM(y) * 10000 - SUM(pu)) AS gap FROM bb GROUP BY bin),
 ece AS (SELECT CAST(SUM(gap) AS DOUBLE) / SUM(n) / 1e4 AS ece FROM per),
 br AS (SELECT CAST(SUM((pu - y * 10000) * (pu - y * 10000)) AS DOUBLE) / COUNT(*) / 1e8 AS brier, CAST(SUM(correct) AS DOUBLE) / COUNT(*) AS acc FROM bb)
-SELECT {d.r('brier', 4)} AS brier, {d.r('ece', 4)} AS ece, {d.r('acc', 4)} AS accuracy FROM br CROSS JOIN ece""".replace(
-        "b AS (SELECT *, CAST(greatest((pu + 999) / 1000, 1) AS BIGINT) AS bin FROM (SELECT *, CAST(floor(0) AS BIGINT) AS z FROM ok) q),\n", ""
-    )
+SELECT {d.r('brier', 4)} AS brier, {d.r('ece', 4)} AS ece, {d.r('acc', 4)} AS accuracy FROM br CROSS JOIN ece"""
 
 
 def regression_metrics(d: Dialect) -> str:
+    # The share of a miss in what was to be forecast, in whole billionths, so that the sum is exact in any order.
+    share = "CAST(ROUND(ABS((y - f) / (y + 1e-8)) * 1e9) AS BIGINT)"
     return f"""WITH {TEAM_GAMES}, x AS (SELECT CAST(diff AS BIGINT) AS y, CAST(COALESCE(ROUND({previous('diff', 5)}), 0) AS BIGINT) AS f FROM tg),
-s AS (SELECT COUNT(*) AS n, SUM((y - f) * (y - f)) AS sse, SUM(ABS(y - f)) AS sae, SUM(y) AS sy, SUM(y * y) AS syy FROM x)
+s AS (SELECT COUNT(*) AS n, SUM((y - f) * (y - f)) AS sse, SUM(ABS(y - f)) AS sae, SUM(y) AS sy, SUM(y * y) AS syy, SUM({share}) AS miss FROM x)
 SELECT {d.r('CAST(sse AS DOUBLE) / n', 4)} AS mse, {d.r('sqrt(CAST(sse AS DOUBLE) / n)', 4)} AS rmse, {d.r('CAST(sae AS DOUBLE) / n', 4)} AS mae,
- {d.r('1 - CAST(sse AS DOUBLE) / (syy - CAST(sy AS DOUBLE) * sy / n)', 4)} AS r2 FROM s"""
+ {d.r('1 - CAST(sse AS DOUBLE) / (syy - CAST(sy AS DOUBLE) * sy / n)', 4)} AS r2, {d.r('CAST(miss AS DOUBLE) / n / 1e9 * 1e2', 4)} AS mape FROM s"""
 
 
 def roc_auc(d: Dialect) -> str:
@@ -235,7 +260,15 @@ SELECT bin, {d.r('CAST(SUM(pu) AS DOUBLE) / COUNT(*) / 1e4', 4)} AS mean_predict
 
 
 def null_summary(d: Dialect) -> str:
-    parts = " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST(SUM(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS nulls, {d.r(f'1e2 * SUM(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) / COUNT(*)', 4)} AS pct FROM wide" for c in ("record_L5_HT", "record_L5_VT", "last_win_HT", "home_conf"))
+    """Spark counts all columns in one pass; the oracle asks column by column."""
+    columns = ("record_L5_HT", "record_L5_VT", "last_win_HT", "home_conf")
+    if d.spark:
+        sums = ", ".join(f"COUNT_IF({c} IS NULL) AS {c}" for c in columns)
+        pairs = ", ".join(f"'{c}', {c}" for c in columns)
+        pct = d.r("1e2 * nulls / rows", 4)
+        return f"""WITH {_wide_cte(d)}, one AS (SELECT COUNT(*) AS rows, {sums} FROM wide), long AS (SELECT rows, stack({len(columns)}, {pairs}) AS (column_name, nulls) FROM one)
+SELECT column_name, CAST(nulls AS BIGINT) AS nulls, {pct} AS pct FROM long"""
+    parts = " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST(SUM(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS nulls, {d.r(f'1e2 * SUM(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) / COUNT(*)', 4)} AS pct FROM wide" for c in columns)
     return f"WITH {_wide_cte(d)} {parts}"
 
 
@@ -261,6 +294,19 @@ def stake_sizing(d: Dialect) -> str:
 e AS (SELECT *, {d.r('(p2 - ask) / ask', 2)} AS edge FROM a) SELECT game_id, edge, {d.r('edge * 1.0e2 / ask', 2)} AS stake FROM e WHERE edge > 0"""
 
 
+def ask_walk(d: Dialect) -> str:
+    """Shares bought along three asks, cheapest first: each for (p - ask) / ask of what is left of 100, until one ask holds all that is wanted."""
+    asks = [(f"(35 + game_id % 20 + {5 * k}) / 1.0e2", f"CAST(20 + (game_id + {7 * k}) % 60 AS BIGINT)") for k in range(3)]
+    steps, left, going = [], "1.0e2", "TRUE"
+    for k, (ask, size) in enumerate(asks):
+        want = f"CAST(floor({d.r(f'(p2 - a{k}) / a{k}', 2)} * b{k} / a{k}) AS BIGINT)"
+        steps.append(f"s{k} AS (SELECT *, {ask} AS a{k}, {size} AS z{k}, {left} AS b{k}, {going} AS g{k} FROM {'a' if k == 0 else f't{k - 1}'})")
+        steps.append(f"t{k} AS (SELECT *, CASE WHEN g{k} AND p2 > a{k} THEN least({want}, z{k}) ELSE 0 END AS n{k}, g{k} AND p2 > a{k} AND {want} > z{k} AS more{k} FROM s{k})")
+        left, going = f"b{k} - n{k} * a{k}", f"more{k}"
+    return f"""WITH {_scored(d)}, a AS (SELECT game_id, {d.r('p', 2)} AS p2 FROM ok), {", ".join(steps)}
+SELECT game_id, CAST(n0 AS BIGINT) AS shares_1, CAST(n1 AS BIGINT) AS shares_2, CAST(n2 AS BIGINT) AS shares_3, {d.r('n0 * a0 + n1 * a1 + n2 * a2', 4)} AS spent FROM t2 WHERE n0 > 0"""
+
+
 def season_expand(d: Dialect) -> str:
     return f"""WITH t AS (SELECT CAST(n_nationkey AS BIGINT) AS team, CAST(1990 + n_nationkey AS INT) AS founded, CAST(CASE WHEN n_nationkey % 3 = 0 THEN 2100 ELSE 1995 + n_nationkey END AS INT) AS till FROM nation),
 y AS (SELECT team, {d.numbers('founded', 'least(till, 2001) - 1')} AS y FROM t WHERE founded <= least(till, 2001) - 1)
@@ -285,7 +331,8 @@ def union_reindex(d: Dialect) -> str:
 
 
 def sort_nulls_last(d: Dialect) -> str:
-    return f"WITH {GAMES}, m AS (SELECT game_id, CASE WHEN game_id % 3 = 0 THEN NULL ELSE home_score END AS s FROM games) SELECT game_id, s, CAST(ROW_NUMBER() OVER (ORDER BY s NULLS LAST, game_id) AS BIGINT) AS place FROM m"
+    return f"""WITH {GAMES}, m AS (SELECT game_id, CASE WHEN game_id % 3 = 0 THEN NULL ELSE home_score END AS s FROM games), {_in_order(d, "m", "k", "s")}
+SELECT m.game_id, m.s, CAST(k.rn AS BIGINT) AS place FROM m JOIN k ON k.game_id = m.game_id"""
 
 
 def schedule_parse(d: Dialect) -> str:
@@ -302,9 +349,9 @@ def events_by_hour(d: Dialect) -> str:
 
 TABLES = [
     games_view, team_games, season_of_date, postponed_split, regular_season_filter, neutral_label_flag, add_conference, teams_locations, dedupe_keep_latest,
-    dedupe_incremental, drop_duplicates_first, next_slate, location_pairs, abbreviation_slug, arena_share, neutral_court, temporal_split, fixed_holdout_split,
+    dedupe_incremental, drop_duplicates_first, next_slate, location_pairs, abbreviation_slug, arena_share, neutral_court, temporal_split, fixed_holdout_split, split_sizes,
     make_holdout_set, impute_mean, clip_percentiles, one_hot_if_binary, standard_scale, analysis_frame, record_baseline, point_diff_baseline, accuracy_by_season,
-    error_by_team, top_error_teams, matchup_accuracy, season_phase_accuracy, margin_calibration, brier_ece, regression_metrics, roc_auc, roc_points,
-    confusion_matrix, accuracy_by_prob_bin, reliability_points, null_summary, class_counts, phase_vs_baseline, ot_parse, stake_sizing, season_expand, prompt_text,
+    error_by_team, top_error_teams, matchup_accuracy, overtime_accuracy, neutral_court_accuracy, season_phase_accuracy, margin_calibration, brier_ece, regression_metrics, roc_auc, roc_points,
+    confusion_matrix, accuracy_by_prob_bin, reliability_points, null_summary, class_counts, phase_vs_baseline, ot_parse, stake_sizing, ask_walk, season_expand, prompt_text,
     coerce_numeric, fill_winner, union_reindex, sort_nulls_last, schedule_parse, required_nulls, events_by_hour,
 ]
