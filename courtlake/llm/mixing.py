@@ -47,16 +47,15 @@ def _code_point_rank(sources: DataFrame) -> DataFrame:
     return placed.select(F.col("source").alias("s"), (F.col("at").bitwiseAND((1 << 33) - 1) + F.col("r_before")).alias("place"))
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """(source, source_size) -> target: ``share`` of all sizes by weight, stopped at ``most`` times the source.
+def _targets(totals: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
+    """``totals`` (sid, source_size, ...) with ``target``: ``share`` of all sizes by weight, stopped at ``most`` times the source.
 
     The targets are ``min(most * size, level * weight)`` for the common level at which they sum to the share.  Newton's
     steps on that piecewise linear sum find it: every step is one grouped sum, stops the sources that the level lifts
     above their cap for good, and the steps end when none is left to stop.
     """
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("long")
-    ranked = sizes.join(_code_point_rank(sizes), F.col("source").eqNullSafe(F.col("s")))
-    ranked = c.materialise(ranked.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * most).alias("cap")))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("sid") % len(weights) + 1).cast("int")).cast("long")
+    ranked = c.materialise(totals.withColumns({"weight": weight, "cap": F.col("source_size") * most}))
     goal = (ranked.agg(F.sum("source_size")).first()[0] or 0) * share
     level = None
     while True:
@@ -67,7 +66,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
             break
         level = found
     target = F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(level or 0.0))
-    return ranked.select("source", "source_size", F.greatest(target, F.lit(0.0)).alias("target"))
+    return ranked.withColumn("target", F.greatest(target, F.lit(0.0))).drop("weight", "cap")
+
+
+def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """(source, source_size) -> target; sources take the weights in turn by code point, null last."""
+    ids = c.materialise(_code_point_rank(sizes).select(F.col("s").alias("source"), F.col("place").alias("sid")))
+    return _with_source(_targets(_with_source(sizes, ids).select("sid", "source_size"), weights, share, most), ids, "sid").select("source", "source_size", "target")
 
 
 def _exact_sum(x: Column) -> Column:
@@ -76,11 +81,12 @@ def _exact_sum(x: Column) -> Column:
 
 
 def _multipliers(histogram: DataFrame, targets: DataFrame, most: int, rounds: int = 40) -> DataFrame:
-    """Newton on each source's dual; (source, multiplier, mean, edge), edge -1 / 1 where all rates are 0 / ``most``."""
+    """Newton on each source's dual; (sid, target, source_size, multiplier, mean, edge), edge -1 / 1 where all rates are 0 / ``most``."""
     state = c.materialise(
         targets.select(
-            "source",
+            "sid",
             "target",
+            "source_size",
             # A source without words has no mean; its target is 0, so its rates are.
             F.try_divide("source_size", "sized").alias("mean"),
             F.when(F.col("target") <= 0, -1).when(F.col("target") >= most * F.col("source_size"), 1).otherwise(0).alias("edge"),
@@ -95,10 +101,9 @@ def _multipliers(histogram: DataFrame, targets: DataFrame, most: int, rounds: in
         rate = F.lit(float(most)) / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("m") * z))))
         slope = rate * (1 - rate / most) * z
         sums = (
-            histogram.join(state.filter("edge = 0 and not done").select(F.col("source").alias("s"), "m", "mean"), F.col("source").eqNullSafe(F.col("s")))
-            .groupBy("source")
+            histogram.join(state.filter("edge = 0 and not done").select("sid", "m", "mean"), "sid")
+            .groupBy("sid")
             .agg(_exact_sum(F.col("n") * F.col("size") * rate).alias("f"), _exact_sum(F.col("n") * F.col("size") * slope).alias("df"))
-            .select(F.col("source").alias("s"), "f", "df")
         )
         over = F.col("f") - F.col("target")
         low, high = F.when(over < 0, F.col("m")).otherwise(F.col("low")), F.when(over > 0, F.col("m")).otherwise(F.col("high"))
@@ -106,21 +111,11 @@ def _multipliers(histogram: DataFrame, targets: DataFrame, most: int, rounds: in
         step = F.when((newton > low) & (newton < high), newton).otherwise((low + high) / 2)
         near = F.abs(over) <= F.greatest(F.lit(0.25), F.col("target") * 1e-9)
         stop = F.col("f").isNull() | near | F.col("done")
-        state = c.materialise(
-            state.join(sums, F.col("source").eqNullSafe(F.col("s")), "left").select(
-                "source",
-                "target",
-                "mean",
-                "edge",
-                F.when(stop, F.col("m")).otherwise(step).alias("m"),
-                F.when(stop, F.col("low")).otherwise(low).alias("low"),
-                F.when(stop, F.col("high")).otherwise(high).alias("high"),
-                stop.alias("done"),
-            )
-        )
+        moved = {"m": F.when(stop, F.col("m")).otherwise(step), "low": F.when(stop, F.col("low")).otherwise(low), "high": F.when(stop, F.col("high")).otherwise(high), "done": stop}
+        state = c.materialise(state.join(sums, "sid", "left").withColumns(moved).drop("f", "df"))
         if not state.filter("edge = 0 and not done").limit(1).count():
             break
-    return state.select("source", "target", F.col("m").alias("multiplier"), "mean", "edge")
+    return state.select("sid", "target", "source_size", F.col("m").alias("multiplier"), "mean", "edge")
 
 
 def mix(
@@ -159,27 +154,27 @@ def mix(
     )
     carried = ["key"] if key_col else []
     histogram = c.materialise(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
-    totals = histogram.groupBy("source").agg(
+    # A source goes by its number from here on: joins on one number are the cheapest to broadcast.
+    ids = c.materialise(_code_point_rank(histogram.groupBy("source").agg(F.lit(None))).select(F.col("s").alias("source"), F.col("place").alias("sid")))
+    counted = c.materialise(_with_source(histogram, ids).select("sid", "size", "n"))
+    totals = counted.groupBy("sid").agg(
         F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("sized")
     )
-    goals = source_targets(totals.select("source", "source_size"), weights, share, most)
-    goals = c.materialise(goals.join(totals.select(F.col("source").alias("s"), "sized"), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
-    tilt = _multipliers(histogram.filter("size > 0"), goals, most)
-    plan = tilt.join(goals.select(F.col("source").alias("s"), "source_size"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    plan = c.materialise(plan.withColumnsRenamed({x: f"p_{x}" for x in plan.columns if x != "source"}))
+    goals = c.materialise(_targets(totals, weights, share, most))
+    plan = c.materialise(_multipliers(counted.filter("size > 0"), goals, most))
 
-    z = F.col("size") / F.col("p_mean")
-    tilted = F.lit(float(most)) / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("p_multiplier") * z))))
-    rate = F.when(F.col("size") == 0, 0.0).when(F.col("p_edge") < 0, 0.0).when(F.col("p_edge") > 0, float(most)).otherwise(tilted)
-    rated = _with_source(sized, plan).withColumn("rate", rate)
+    z = F.col("size") / F.col("mean")
+    tilted = F.lit(float(most)) / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("multiplier") * z))))
+    rate = F.when(F.col("size") == 0, 0.0).when(F.col("edge") < 0, 0.0).when(F.col("edge") > 0, float(most)).otherwise(tilted)
+    rated = _with_source(_with_source(sized, ids), plan, "sid").withColumn("rate", rate)
 
     # Running sums along the sizes, in ranges of each source so that no source is one task.
     # Rates are summed as whole billionths, which add up alike in any order.
-    ranges = max(_RANGES, (histogram.agg(F.sum("n")).first()[0] or 0) // RANGE_ROWS)
+    ranges = max(_RANGES, (counted.agg(F.sum("n")).first()[0] or 0) // RANGE_ROWS)
     part = F.pmod(F.col("tie"), F.lit(ranges)).cast("int")
     unit = F.round(F.col("rate") * 1e9).cast("long")
     rated = rated.withColumn("part", part).withColumn("unit", unit)
-    along = Window.partitionBy("source", "part").orderBy(F.col("size").desc(), "tie", "doc_id")
+    along = Window.partitionBy("sid", "part").orderBy(F.col("size").desc(), "tie", "doc_id")
     run = F.sum("unit").over(along.rowsBetween(Window.unboundedPreceding, 0))
     # Each range starts at its own phase, spread evenly, so that the ranges' errors cancel.
     phase = F.pmod(F.col("part").cast("long") * 618033989, F.lit(1_000_000_000))
@@ -187,21 +182,14 @@ def mix(
         "copies",
         F.least(F.lit(most), F.expr("cast(run div 1000000000 - (run - unit) div 1000000000 as int)")),
     )
-    rounded = c.materialise(
-        rounded.select(*carried, "doc_id", "source", "size", "tie", F.col("p_source_size").alias("source_size"), F.col("p_target").alias("target"), "rate", "copies").withColumn(
-            "row", F.monotonically_increasing_id()
-        )
-    )
-    # What rounding left of a source is added to or cut from single documents, the largest first.
-    gaps = (
-        rounded.groupBy("source")
-        .agg(F.round(F.first("target")).cast("long").alias("goal"), F.sum(F.col("copies") * F.col("size")).alias("got"))
-        .select("source", (F.col("goal") - F.col("got")).alias("gap"))
-    )
-    asked = _with_source(rounded, c.materialise(gaps))
+    rounded = rounded.select(*carried, "doc_id", "source", "sid", "size", "tie", "source_size", "target", "rate", "copies")
+    rounded = c.materialise(rounded.withColumn("row", F.monotonically_increasing_id()))
+    # What rounding left of a source is added to or cut from single documents, the roomiest first.
+    got = rounded.groupBy("sid").agg(F.round(F.first("target")).cast("long").alias("goal"), F.sum(F.col("copies") * F.col("size")).alias("got"))
+    asked = _with_source(rounded, c.materialise(got.select("sid", (F.col("goal") - F.col("got")).alias("gap"))), "sid")
     room = F.when(F.col("gap") > 0, most * F.col("size") - F.col("copies") * F.col("size")).otherwise(F.col("copies") * F.col("size"))
     roomy = asked.withColumn("room", room)
-    fix = _closing(roomy)
+    fix = _closing(roomy.withColumn("source", F.col("sid")))
     closed = roomy.join(fix, F.col("row") == F.col("f_row"), "left")
     taken = F.col("copies") * F.col("size") + F.coalesce(F.col("f_change"), F.lit(0))
     return closed.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", taken.cast("long").alias("taken"), *carried)
@@ -232,22 +220,25 @@ def _closing(roomy: DataFrame) -> DataFrame:
         left = F.col("open") - F.coalesce(before, F.lit(0))
         ends = totals.withColumn("left", left).filter("left > 0 and total >= left")
         ends = c.materialise(ends.select("source", F.col("value").alias("end"), "left"))
-        joined = _with_source(at, ends)
+        joined = _with_source(at.withColumnRenamed("source", "sid"), ends.withColumnRenamed("source", "sid"), "sid").withColumnRenamed("sid", "source")
         whole = joined.filter("end is null or value < end").select("row", (F.col("room") * sign).alias("change"))
         closing = whole if closing is None else closing.unionByName(whole)
-        at = joined.filter("value = end").withColumn("open", F.col("left")).drop("value", "end", "left")
-    # One row of a source is left, with at least as much room as what is open.
+        at = c.materialise(joined.filter("value = end").withColumn("open", F.col("left")).drop("value", "end", "left"))
+        if at.count() == ends.count():  # one row a source
+            break
+    # One row of a source is left, with at least as much room as is open.
     closing = closing.unionByName(at.select("row", (F.col("open") * sign).alias("change")))
     return closing.select(F.col("row").alias("f_row"), F.col("change").alias("f_change"))
 
 
-def _with_source(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """``rows`` with the columns of ``table``, a row per source at most, or nulls.
+def _with_source(rows: DataFrame, table: DataFrame, key: str = "source") -> DataFrame:
+    """``rows`` with the columns of ``table``, a row per ``key`` at most, or nulls; null keys match.
 
     The table is broadcast while it is small, so that rows are not dealt by source; else the join is left to adaptive
     execution, which splits the hot sources.
     """
-    named = table.withColumnRenamed("source", "t_source")
+    named = table.withColumnRenamed(key, "t_key")
     if table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         named = F.broadcast(named)
-    return rows.join(named, F.col("source").eqNullSafe(F.col("t_source")), "left").drop("t_source")
+    match = F.col(key) == F.col("t_key") if key == "sid" else F.col(key).eqNullSafe(F.col("t_key"))
+    return rows.join(named, match, "left").drop("t_key")

@@ -136,12 +136,12 @@ def _by_size(table: DataFrame, key: str, tasks: int) -> tuple[DataFrame, dict[in
     rows = c.materialise(dealt.select(key, "size", F.monotonically_increasing_id().alias("at")))
     runs = rows.groupBy(F.shiftright("at", 33).alias("part"), "size").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     held: dict[int, int] = {}
-    shifts = []
+    shifts = []  # by (part, size) in one number, the cheapest key to broadcast
     for r in sorted(runs.collect(), key=lambda r: r["part"]):  # sizes are sorted, so at most one row more than sizes per part
-        shifts.append((r["part"], r["size"], held.get(r["size"], 0) - r["first"]))
+        shifts.append(((r["part"] << 31) + r["size"], held.get(r["size"], 0) - r["first"]))
         held[r["size"]] = held.get(r["size"], 0) + r["n"]
-    shift = _lookup(spark, shifts, "r_part r_size shift")
-    ranked = rows.join(shift, (F.shiftright("at", 33) == F.col("r_part")) & (F.col("size") == F.col("r_size")))
+    shift = _lookup(spark, shifts, "run shift")
+    ranked = rows.join(shift, F.shiftleft(F.shiftright("at", 33), 31) + F.col("size") == F.col("run"))
     return ranked.select(key, "size", (F.col("at") + F.col("shift")).alias("rank")), held
 
 
