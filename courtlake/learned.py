@@ -9,10 +9,24 @@ from pyspark.sql import functions as F
 
 from courtlake.catalog import ORACLES as PLAN_ORACLES
 from courtlake.catalog import QUERIES as PLAN_QUERIES
+from courtlake.catalog import league_of
 from courtlake.operators import models, splits
+from courtlake.operators.deltas import feature_groups, resolve_features
+from courtlake.operators.experiment import Settings, prepare
+from courtlake.plans.base import DISTANCE_LAGS, LAGS, LOCATION_LAGS
 from courtlake.sources.games import normalise
 
-FEATURES = [f"{x}_L{n}_delta" for n in (5, 13, 34) for x in ("record", "pts_diff_avg")] + ["rested_delta"]
+#: The groups and lags that a model is trained on.
+GROUPS = feature_groups(
+    {
+        "record": {"enabled": False}, "sos": {"enabled": False}, "streak": {"enabled": False}, "last_season_record": {"enabled": False},
+        "norm_point_differential": {"lags": LAGS, "location_lags": LOCATION_LAGS}, "sos_adj_record": {"lags": LAGS, "location_lags": LOCATION_LAGS},
+        "distance": {"lags": DISTANCE_LAGS}, "indifference_flag": {"delta": True, "enabled": True}, "home_and_road": {"delta": True},
+    }
+)
+#: All games count, however few a team has played: the smallest tables have some ten games a team.
+SETTINGS = Settings(GROUPS, min_season=None, min_games=0, min_games_test=0)
+FEATURES = resolve_features(GROUPS, "all")
 KINDS = {"numeric": FEATURES, "flag": [], "category": []}
 
 #: Names that a feed might use, by column of the games view.
@@ -20,12 +34,8 @@ FEED_NAMES = {"game_id": "Game-ID", "game_date": "date", "home": "homeid", "away
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    deltas = PLAN_QUERIES["delta_features"](spark, sf_dir)
-    wins = PLAN_QUERIES["wide_features"](spark, sf_dir).select("game_id", F.col("win").alias("y"))
-    parts = PLAN_QUERIES["temporal_split"](spark, sf_dir)
-    # Fits pass over the table many times; blocks lost with an executor are computed again.
-    table = deltas.join(wins, "game_id").join(parts, "game_id").na.drop(subset=FEATURES).persist()
-    return {s: table.filter(F.col("split") == s).drop("split") for s in ("train", "val", "test")}
+    """Train, val and test of all games; the table that fits pass over many times is cut off from the pipeline behind it."""
+    return prepare(league_of(spark, sf_dir).wide(), SETTINGS)[0]
 
 
 def _predicted(kind: str, **params: int) -> Callable[[SparkSession, str], DataFrame]:

@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, MinMaxScaler, OneHotEncoder, RobustScaler, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -47,6 +47,53 @@ def numbers(table: DataFrame, kinds: Mapping[str, Sequence[str]]) -> DataFrame:
     return table.withColumns({c: F.col(c).cast("int").cast("double") if c in kinds["flag"] else F.col(c).cast("double") for c in (*kinds["numeric"], *kinds["flag"])})
 
 
+def fill(table: DataFrame, columns: Sequence[str], strategy: str = "mean", constant: Any = None) -> DataFrame:
+    """Nulls of these columns by their mean, median, mode (of any type, the smallest of equals) or a constant; all-null columns stay null."""
+    if strategy == "constant":
+        return table.withColumns({c: F.coalesce(F.col(c), F.lit(constant).cast(dict(table.dtypes)[c])) for c in columns})
+    if strategy not in ("mean", "median", "mode"):
+        raise ValueError(f"unknown strategy: {strategy}")
+    how = {"mean": F.avg, "median": lambda c: F.percentile(c, 0.5), "mode": lambda c: F.mode(c, True)}[strategy]
+    found = table.agg(*[how(F.col(c)).alias(c) for c in columns]).first() if columns else {}
+    return table.withColumns({c: F.coalesce(F.col(c), F.lit(found[c])) for c in columns if found[c] is not None})
+
+
+def tame_outliers(table: DataFrame, columns: Sequence[str], method: str = "clip", low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """Values beyond a column's percentiles become the percentile (``clip``), or their rows go (``remove``); nulls stay."""
+    if method not in ("clip", "remove"):
+        raise ValueError(f"unknown method: {method}")
+    if not columns:
+        return table
+    ends = table.agg(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(low), F.lit(high))).alias(c) for c in columns]).first()
+    for c in columns:
+        if ends[c] is not None:
+            lo, hi = ends[c]
+            if method == "clip":
+                table = table.withColumn(c, F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c).cast("double"), F.lit(lo)), F.lit(hi))))
+            else:
+                table = table.filter(F.col(c).isNull() | F.col(c).between(lo, hi))
+    return table
+
+
+def importances(model: PipelineModel, kinds: Mapping[str, Sequence[str]]) -> list[tuple[str, float]]:
+    """(feature, gain) of a fitted tree model, most important first; a category's places count together."""
+    weights, out, at = model.stages[-1].featureImportances.toArray(), {}, 0
+    for c in (*kinds["numeric"], *kinds["flag"]):
+        out[c], at = float(weights[at]), at + 1
+    if kinds["category"]:
+        indexer = next(s for s in model.stages[0].stages if hasattr(s, "labelsArray"))
+        for c, labels in zip(kinds["category"], indexer.labelsArray, strict=True):
+            out[c], at = float(weights[at : at + len(labels)].sum()), at + len(labels)
+    return sorted(out.items(), key=lambda x: (-x[1], x[0]))
+
+
+def cross_validate(folds: Sequence[tuple[DataFrame, DataFrame]], kinds: Mapping[str, Sequence[str]], kind: str, label: str = "y", **params: Any) -> dict[str, tuple[float, float]]:
+    """(mean, standard deviation) over the folds of accuracy, Brier score and log loss."""
+    got = [scores(predict(train(t, kinds, learner(kind, label, **params)), v, kinds), label) for t, v in folds]
+    mean = {m: sum(g[m] for g in got) / len(got) for m in got[0]}
+    return {m: (x, math.sqrt(sum((g[m] - x) ** 2 for g in got) / len(got))) for m, x in mean.items()}
+
+
 def preprocessing(kinds: Mapping[str, Sequence[str]], scaler: str = "standard", impute: str = "mean") -> Pipeline:
     """Impute and scale numbers, fill flags with their mode, one-hot categories (unseen ones and nulls get a place of their own)."""
     if scaler not in SCALERS:
@@ -70,11 +117,15 @@ def preprocessing(kinds: Mapping[str, Sequence[str]], scaler: str = "standard",
 
 
 def learner(kind: str, label: str = "y", seed: int = 42, weight: str | None = None, **params: Any) -> Estimator:
-    """``forest`` or ``boosted`` trees; ``params`` are those of the ``pyspark.ml`` class."""
+    """``forest``, ``boosted`` or ``single`` trees, or ``logistic``; ``params`` are those of the ``pyspark.ml`` class."""
     if kind == "forest":
         out = RandomForestClassifier(labelCol=label, seed=seed, **({"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 15, "subsamplingRate": 0.7, "featureSubsetStrategy": "sqrt"} | params))
     elif kind == "boosted":
         out = GBTClassifier(labelCol=label, seed=seed, **({"maxIter": 100, "stepSize": 0.1, "maxDepth": 5, "minInstancesPerNode": 10, "featureSubsetStrategy": "sqrt"} | params))
+    elif kind == "single":
+        out = DecisionTreeClassifier(labelCol=label, seed=seed, **({"maxDepth": 5, "minInstancesPerNode": 15} | params))
+    elif kind == "logistic":
+        out = LogisticRegression(labelCol=label, **({"regParam": 0.01} | params))
     else:
         raise ValueError(f"unknown learner: {kind}")
     return out.setWeightCol(weight) if weight else out

@@ -53,3 +53,9 @@ def expanding_folds(table: DataFrame, date: str, folds: int) -> list[tuple[DataF
         inside = F.col(date) >= F.lit(lo)
         out.append((table.filter(F.col(date) < F.lit(lo)), table.filter(inside if hi is None else inside & (F.col(date) < F.lit(hi)))))
     return out
+
+
+def k_folds(table: DataFrame, key: str, folds: int, seed: int = 42) -> list[tuple[DataFrame, DataFrame]]:
+    """(train, validation) pairs of a seeded deal: every row is in one validation part, whose sizes differ by one row at most."""
+    dealt = shuffled_rank(table, key, seed).withColumn("_fold", F.pmod(F.col("_rank"), F.lit(folds))).drop("_rank", "_size")
+    return [(dealt.filter(F.col("_fold") != k).drop("_fold"), dealt.filter(F.col("_fold") == k).drop("_fold")) for k in range(folds)]

@@ -21,7 +21,6 @@ from courtlake.sources.games import Suggest, normalise, read_games, with_require
 from courtlake.sources.schema import GAME_COLUMNS
 
 SUFFIXES = ("csv", "json", "jsonl")
-HEADER_BYTES = 1 << 16
 TABLE_SCHEMA = ", ".join(f"{c} {kind}" for c, kind in GAME_COLUMNS.items()) + ", batch bigint"
 #: Called with the games of a batch after they are written, to rebuild what depends on their seasons.
 Refresh = Callable[[DataFrame, int], None]
@@ -41,15 +40,24 @@ def only_new(games: DataFrame, existing: DataFrame, key: str = "gameId") -> Data
 
 
 def _by_header(spark: SparkSession, paths: list[str]) -> dict[tuple[str, str], list[str]]:
-    suffix = F.lower(F.substring_index("path", ".", -1))
-    head = F.substring_index(F.decode(F.substring("content", 1, HEADER_BYTES), "UTF-8"), "\n", 1)
-    files = spark.read.format("binaryFile").load(paths).select("path", suffix.alias("kind"), F.when(suffix == "csv", head).otherwise("").alias("head"))
+    """The batch's paths by suffix and, for CSV, by their first line, which is all that is read of a file here."""
     groups: dict[tuple[str, str], list[str]] = {}
-    for row in files.orderBy("path").collect():  # the paths of one batch, at most max_files
-        groups.setdefault((row["kind"], row["head"]), []).append(row["path"])
+    for path in sorted(paths):  # at most max_files
+        kind = path.rsplit(".", 1)[-1].lower()
+        groups.setdefault((kind, _first_line(spark, path) if kind == "csv" else ""), []).append(path)
     return groups
 
 
+def _first_line(spark: SparkSession, path: str) -> str:
+    jvm = spark._jvm
+    hadoop = jvm.org.apache.hadoop.fs.Path(path)
+    stream = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).open(hadoop)
+    try:
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine() or ""
+    finally:
+        stream.close()
+
+
 def ingest_batch(spark: SparkSession, paths: list[str], batch: int, table: str, key: str = "gameId", suggest: Suggest | None = None) -> DataFrame:
     """Write the new games of these files to the table's folder of the batch and return them."""
     groups = _by_header(spark, paths)
@@ -84,3 +92,32 @@ def ingest(
                 refresh(games, batch)
 
     return reader.load(folder).select("path").writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: Called with the games that a batch of upcoming files holds; returns (gameId, and what is known of the game by now).
+Results = Callable[[DataFrame], DataFrame]
+
+
+def settle(spark: SparkSession, upcoming: str, results: str, lookup: Results, checkpoint: str, archive: str, max_files: int = 1000) -> StreamingQuery:
+    """Take upcoming games (a JSON object per file) to ``results``, with what ``lookup`` knows of them, then end.
+
+    A game goes on once its result is known; others are written back to ``upcoming``, as new files, for the next call.
+    Files that were read move to ``archive`` once a later batch is done.  A batch that runs again writes the same folder,
+    ``results/batch=<id>``, again.
+    """
+    schema = spark.read.option("multiLine", True).option("primitivesAsString", True).json(upcoming).schema
+    reader = spark.readStream.schema(schema).option("multiLine", True).option("primitivesAsString", True).option("maxFilesPerTrigger", max_files)
+    reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive).option("recursiveFileLookup", True)
+
+    def one(games: DataFrame, batch: int) -> None:
+        known = games.filter("gameId is not null").dropDuplicates(["gameId"])
+        found = lookup(known)
+        new = [c for c in found.columns if c != "gameId"]
+        joined = known.drop(*new).join(found.withColumn("gameId", F.col("gameId").cast("string")), "gameId", "left")
+        joined = joined.withColumn("_found", F.greatest(*[F.col(c).isNotNull() for c in new], F.lit(False)))
+        joined.filter("_found").drop("_found").write.mode("overwrite").json(f"{results}/batch={batch}")
+        waiting = joined.filter("not _found").select(*known.columns)
+        if waiting.limit(1).count():
+            waiting.repartition("gameId").write.mode("overwrite").json(f"{upcoming}/waiting-{batch}")
+
+    return reader.json(upcoming).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
