@@ -100,12 +100,13 @@ def prepare(wide: DataFrame, settings: Settings, target: str = "win", holdout: D
     kept = wide if settings.min_season is None else wide.filter(F.col("season") >= settings.min_season)
     kept = filter_by_conference(kept, settings.which)
     named = kept.withColumns({"y": F.col(target).cast("int"), "_record": F.col("record_L82_HT") - F.col("record_L82_VT"), "_points": F.col("pts_diff_avg_L82_HT") - F.col("pts_diff_avg_L82_VT")} | {f"_{c}": F.col(c) for c in meta})
-    named = cut(named)  # the splits, the fits and the counts all read it
+    named = cut(named)
     made = conference_features(create_momentum(create_deltas(named, settings.groups), settings.momentum), settings.which)
     features = select_features(made, settings.groups, settings.which, pairs=settings.momentum)[0].columns
     own = ["game_id", "y", "_record", "_points", *(f"_{c}" for c in meta)]
-    table = made.select(*own, *[c for c in features if c not in own]).na.drop(subset=features)
-    table = table.withColumnsRenamed({f"_{c}": c for c in meta if c not in features})
+    table = made.select(*own, *[c for c in features if c not in own]).withColumnsRenamed({f"_{c}": c for c in meta if c not in features})
+    # Cut before the null check: a check over so many differences makes Catalyst infer a constraint per subset of them.
+    table = cut(table).na.drop(subset=features)
     divided = cut(with_split(table, "game_date", "game_id", settings.test, settings.val, holdout))
     out = {}
     for part in ("train", "val", "test"):
