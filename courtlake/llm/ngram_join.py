@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -213,6 +214,7 @@ def possible(pairs: pa.RecordBatch | pa.Table, percent: int) -> np.ndarray:
 
 
 _NODE = "cluster long, near boolean, node long, low int, high int, crowd int, bitmap binary"
+_BLOCK = ["cluster", "near", "node", "low", "high", "crowd", "bitmap", "hub", "keys", "blob"]
 
 
 def _parents(nodes: DataFrame) -> DataFrame:
@@ -278,22 +280,42 @@ def _large_clusters(large: DataFrame, percent: int) -> DataFrame:
 
     marked = large.join(pivot, "cluster").mapInArrow(against_pivot, "cluster long, key long, n int, tokens binary, hub long, near boolean, least long")
     order = ["cluster", "near", "n", "least", "key"]
-    marked = c.materialise(marked.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
-
-    def build(table: pa.Table) -> pa.Table:
-        n = table.column("n").to_numpy()
-        bitmap, crowd = signature(_tokens(table.column("tokens")))
-        row = {
-            "cluster": table.column("cluster")[:1], "near": table.column("near")[:1], "node": table.column("node")[:1],
-            "low": pa.array([int(n.min())], pa.int32()), "high": pa.array([int(n.max())], pa.int32()), "crowd": pa.array([crowd], pa.int32()),
-            "bitmap": pa.array([bitmap]), "blob": pa.array([c._ipc(table.select(["key", "n", "tokens"]))], pa.binary()),
-        }
-        return pa.table(row)
-
-    # A block is sets that follow each other in the sort, BLOCK_SETS at most.
-    cut = marked.withColumn("node", (F.col("at") / BLOCK_SETS).cast("long"))
-    blocks = c.materialise(cut.groupBy("cluster", "near", "node").applyInArrow(build, _NODE + ", blob binary"))
-    levels = [blocks.drop("blob")]
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of BLOCK_SETS sets at most that follow each other in the sort, numbered along it."""
+        node, held = TaskContext.get().partitionId() << 22, []
+
+        def emit() -> pa.RecordBatch:
+            nonlocal node, held
+            table = pa.Table.from_batches(held).combine_chunks()
+            n = table.column("n").to_numpy()
+            bitmap, crowd = signature(_tokens(table.column("tokens")))
+            row = {x: table.column(x)[:1].combine_chunks() for x in ("cluster", "near", "hub")} | {
+                "node": pa.array([node], pa.int64()), "low": pa.array([int(n.min())], pa.int32()), "high": pa.array([int(n.max())], pa.int32()), "crowd": pa.array([crowd], pa.int32()),
+                "bitmap": pa.array([bitmap], pa.binary()), "keys": pa.array([table.column("key").to_numpy()], pa.list_(pa.int64())), "blob": pa.array([c._ipc(table.select(["key", "n", "tokens"]))], pa.binary()),
+            }
+            node, held = node + 1, []
+            return pa.RecordBatch.from_arrays([row[x] for x in _BLOCK], names=_BLOCK)
+
+        for b in batches:
+            group = np.array([b.column("cluster").to_numpy(), b.column("near").to_numpy(zero_copy_only=False).astype(np.int64)])
+            at = 0
+            while at < b.num_rows:
+                if held and (held[0].column("cluster")[0], held[0].column("near")[0]) != (b.column("cluster")[at], b.column("near")[at]):
+                    yield emit()
+                other = np.flatnonzero((group[:, at:] != group[:, [at]]).any(0))
+                room = BLOCK_SETS - sum(h.num_rows for h in held)
+                size = min(room, int(other[0]) if len(other) else b.num_rows - at)
+                held.append(b.slice(at, size))
+                at += size
+                if size == room:
+                    yield emit()
+        if held:
+            yield emit()
+
+    along = marked.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    blocks = c.materialise(along.mapInArrow(build, _NODE + ", hub long, keys array<long>, blob binary"))
+    levels = [blocks.drop("blob", "keys", "hub")]
     while levels[-1].groupBy("cluster").count().filter(F.col("count") > TOP_NODES).limit(1).count() and len(levels) < 12:
         levels.append(c.materialise(_parents(levels[-1])))
     pairs = None
@@ -316,24 +338,13 @@ def _large_clusters(large: DataFrame, percent: int) -> DataFrame:
 
     spread = fetched.repartition(parts * 2, "cluster", "near_i", "node_i", "near_j", "node_j")
     found = spread.mapInArrow(traverse, "a long, b long")
-    return found.union(marked.filter("near").select(F.col("key").alias("a"), F.col("hub").alias("b")))
-
-
-def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of documents connected by shingle Jaccard similarity of ``percent``/100 or more.
+    return found.union(blocks.filter("near").select(F.explode("keys").alias("a"), F.col("hub").alias("b")))
 
-    Returns one row per input row: ``doc_id``, ``n_shingles``, ``component_id``
-    (smallest doc_id reachable by links, itself included), ``class_id``
-    (smallest doc_id with the same set) and ``n_copies`` (rows with that set).
 
-    * Shingles are runs of ``words`` words, A-Z in lower case; a shorter text is
-      one shingle.  Null, empty and blank texts have none and link with nothing.
-    * A null doc_id ranks above all others; a component of such rows alone has
-      a null component_id.  Repeated rows are documents of their own.
-    * Other columns are ignored.
-    """
+def _components(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The packed chunks, and a row per document: doc_id, key, n, component_id, class_id, n_copies, group (equal for one component)."""
     spark = docs.sparkSession
-    chunks = c.pack_documents(c.id_and_text(docs, id_col, text_col))
+    chunks = c.pack_documents(docs)
     buckets = c.bucket_count(spark, c.text_bytes(chunks))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,9 +427,10 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     hubs = prefix.groupBy("token").agg(F.min("key").alias("hub"), F.count("*").alias("held")).filter("held > 1").drop("held")
     ties = prefix.join(hubs, "token").filter("key <> hub").select("key", "hub").distinct()
     cluster = connected_components(ties)
-    placed = survivors.select("key", "n", "tokens").join(cluster.withColumnRenamed("node", "key"), "key", "left")
     heads = cluster.groupBy(F.col("component").alias("cluster")).agg((F.count("*") + 1).alias("sets"))
-    placed = c.materialise(placed.withColumn("cluster", F.coalesce("component", "key")).drop("component").join(heads, "cluster"))
+    named = cluster.select(F.col("node").alias("key"), F.col("component").alias("cluster")).unionByName(heads.select(F.col("cluster").alias("key"), "cluster"))
+    sized = c.materialise(named.join(heads, "cluster"))
+    placed = survivors.select("key", "n", "tokens").join(sized, "key")
 
     def small(table: pa.Table) -> pa.Table:
         return tree_links(table.column("key").to_numpy(), table.column("n").to_numpy(), _tokens(table.column("tokens")), percent)
@@ -431,8 +443,49 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
 
     joined = classes.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     names = joined.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    named = joined.join(names, "component").select("digest", "class_id", "n_copies", "component_id")
-    n = F.col("n").cast("long").alias("n_shingles")
+    named = joined.join(names, "component").select("digest", "class_id", "n_copies", "component_id", "component")
     # Rows without shingles all have one digest; they stay out of the join.
-    alone = rows.filter("n = 0").select("doc_id", n, F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"))
-    return rows.filter("n > 0").join(named, "digest", "left").select("doc_id", n, "component_id", "class_id", F.col("n_copies").cast("long")).unionByName(alone)
+    alone = rows.filter("n = 0").select("doc_id", "key", "n", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.col("key").alias("group"))
+    linked = rows.filter("n > 0").join(named, "digest", "left").select("doc_id", "key", "n", "component_id", "class_id", F.col("n_copies").cast("long").alias("n_copies"), F.col("component").alias("group"))
+    return chunks, linked.unionByName(alone)
+
+
+def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of documents connected by shingle Jaccard similarity of ``percent``/100 or more.
+
+    Returns one row per input row: ``doc_id``, ``n_shingles``, ``component_id``
+    (smallest doc_id reachable by links, itself included), ``class_id``
+    (smallest doc_id with the same set) and ``n_copies`` (rows with that set).
+
+    * Shingles are runs of ``words`` words, A-Z in lower case; a shorter text is
+      one shingle.  Null, empty and blank texts have none and link with nothing.
+    * A null doc_id ranks above all others; a component of such rows alone has
+      a null component_id.  Repeated rows are documents of their own.
+    * Other columns are ignored.
+    """
+    _, rows = _components(c.id_and_text(docs, id_col, text_col), words, percent)
+    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "class_id", "n_copies")
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, with all its columns: the smallest id (null above all others), the first of equal ones.
+
+    The rows come from the packed chunks, so texts are neither dealt again nor written a second time.  Documents without
+    shingles are components of their own.
+    """
+    names = docs.columns
+    packed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(*[F.col(f"`{x}`") for x in names if x not in (id_col, text_col)], F.lit(0).alias("_")).alias("rest"))
+    chunks, rows = _components(packed, words, percent)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    kept = rows.groupBy("group").agg(F.min(order).alias("first")).select("first.key")
+    of_chunk = kept.groupBy(F.shiftright("key", c.ROW_BITS).alias("chunk")).agg(F.sort_array(F.collect_list(F.col("key").bitwiseAND((1 << c.ROW_BITS) - 1))).alias("kept"))
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                table = pa.ipc.open_stream(b.column("blob")[row].as_py()).read_all().combine_chunks()
+                yield from table.take(pa.array(b.column("kept")[row].as_py(), pa.int64())).to_batches()
+
+    out = chunks.join(of_chunk.hint("merge"), "chunk").select("blob", "kept").mapInArrow(take, packed.schema)
+    back = {id_col: F.col("doc_id"), text_col: F.col("text")}
+    return out.select(*[(back[x] if x in back else F.col(f"rest.`{x}`")).alias(x) for x in names])
