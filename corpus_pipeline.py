@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtlake.llm import common as c
+from courtlake.llm import ngram_join
 from courtlake.llm.line_dedup import line_dedup
 from courtlake.llm.mixing import mix
-from courtlake.llm.ngram_join import ngram_components
 from courtlake.llm.packing import pack
 from courtlake.llm.toxicity import score_toxicity
 
@@ -54,11 +54,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Repeats of a text are one group.  Null, empty and blank texts are near nothing and all stay.
     """
-    keyed = _keyed(docs)
-    groups = ngram_components(keyed, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    kept = groups.join(keyed.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(order).alias("first")).select("first.row")
-    return keyed.join(kept, "row", "left_semi").select(*_COLUMNS)
+    return ngram_join.one_of_each(docs.select(*_COLUMNS))
 
 
 def to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
