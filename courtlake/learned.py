@@ -38,10 +38,10 @@ def _labelled(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return prepare(league_of(spark, sf_dir).wide(), SETTINGS)[0]
 
 
-def _predicted(kind: str, **params: int) -> Callable[[SparkSession, str], DataFrame]:
+def _predicted(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         parts = _labelled(spark, sf_dir)
-        model = models.train(parts["train"], KINDS, models.learner(kind, **params))
+        model = models.train(parts["train"], KINDS, models.learner(kind))
         return models.predict(model, parts["test"], KINDS).select("game_id", "y", "y_proba", "y_pred")
 
     return run
@@ -49,13 +49,13 @@ def _predicted(kind: str, **params: int) -> Callable[[SparkSession, str], DataFr
 
 def calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _labelled(spark, sf_dir)
-    model = models.train(parts["train"], KINDS, models.learner("forest", numTrees=20, maxDepth=5))
+    model = models.train(parts["train"], KINDS, models.learner("forest"))
     val, test = (models.predict(model, parts[p], KINDS) for p in ("val", "test"))
     return models.calibrate(val, test)[0].select("game_id", "y", "y_proba", "y_pred")
 
 
 def selected_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verdict = models.select_features(_labelled(spark, sf_dir)["train"], "game_id", FEATURES, rounds=6, trees=10, depth=3)
+    verdict = models.select_features(_labelled(spark, sf_dir)["train"], "game_id", FEATURES)
     return spark.createDataFrame(sorted(verdict.items()), "feature string, verdict string")
 
 
@@ -71,8 +71,8 @@ def column_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "train_forest": _predicted("forest", numTrees=20, maxDepth=5),
-    "train_boosted": _predicted("boosted", maxIter=10, maxDepth=3),
+    "train_forest": _predicted("forest"),
+    "train_boosted": _predicted("boosted"),
     "calibrated": calibrated,
     "selected_features": selected_features,
     "random_split": random_split,
