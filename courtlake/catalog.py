@@ -16,7 +16,7 @@ from courtlake.plans.base import DISTANCE_LAGS, GAMES, LAGS, LOCATION_LAGS, TEAM
 from courtlake.plans.features import FEATURES
 from courtlake.plans.league import GDS_LAGS, League
 from courtlake.plans.tables import TABLES
-from courtlake.plans.wide_statement import delta_statement, wide_statement
+from courtlake.plans.wide_statement import delta_features, wide_features
 
 SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -110,9 +110,9 @@ def _league_query(family: Callable[[League], DataFrame], name: str) -> Callable[
     return run
 
 
-PLANS = {plan.__name__: plan for plan in [*TABLES, *FEATURES]}
+PLANS = {plan.__name__: plan for plan in [*TABLES, *FEATURES, wide_features, delta_features]}
 QUERIES = {name: _query(plan) for name, plan in PLANS.items()} | {name: _league_query(family, name) for name, family in LEAGUE.items()}
-ORACLES = {name: _iso(name, plan(ORACLE)) for name, plan in PLANS.items()} | {"wide_features": wide_statement(), "delta_features": delta_statement()}
+ORACLES = {name: _iso(name, plan(ORACLE)) for name, plan in PLANS.items()}
 
 
 #: The catalogue's games view, drawn from games in canonical columns instead of the order tables.
