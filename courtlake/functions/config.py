@@ -45,17 +45,19 @@ def load(path: str | Path, _open: tuple[Path, ...] = ()) -> dict[str, Any]:
 
 
 def group_lags(settings: Mapping[str, Any]) -> dict[str, Any]:
-    """Settings with flat lag lists moved under ``features``; those that have ``features`` stay as they are."""
-    if "features" in settings or not FLAT_LAGS.keys() & settings.keys():
+    """Settings with flat lag lists moved to where ``FLAT_LAGS`` says; those that have ``features`` stay as they are.
+
+    Flat settings had one list of lags by side for records and point differences, so both groups get it.
+    """
+    flat = [] if "features" in settings else [k for k in FLAT_LAGS if k in settings]
+    if not flat:
         return dict(settings)
+    moved = [(*FLAT_LAGS[k], settings[k]) for k in flat]
+    moved += [("point_differential", field, lags) for group, field, lags in moved if (group, field) == FLAT_LAGS["location_lags"]]
     features: dict[str, dict[str, Any]] = {}
-    for name in FLAT_LAGS.keys() & settings.keys():
-        group, field = FLAT_LAGS[name]
-        features.setdefault(group, {})[field] = settings[name]
-    if "location_lags" in settings:
-        features.setdefault("point_differential", {})["location_lags"] = settings["location_lags"]
-    dropped = FLAT_LAGS.keys() | {"originally_enriched_columns"}
-    return {k: v for k, v in settings.items() if k not in dropped} | {"features": features}
+    for group, field, lags in moved:
+        features[group] = features.get(group, {}) | {field: lags}
+    return {k: v for k, v in settings.items() if k not in flat and k != "originally_enriched_columns"} | {"features": features}
 
 
 def get(settings: Mapping[str, Any], dotted: str, default: Any = None) -> Any:

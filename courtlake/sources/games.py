@@ -106,9 +106,37 @@ def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return good, raw.filter(F.col(CORRUPT).isNotNull()).select(F.col("_file").alias("file"), "gameId")
 
 
-def read_upcoming(spark: SparkSession, path: str) -> DataFrame:
-    """Games to come, one JSON object per file, without those that lack an id, a team or a date."""
-    raw = read_games(spark, [path], "json")
+def _listed(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(time of change, path) of the files of a folder, oldest first; a file is itself; what is not there has none."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = system.listStatus(hadoop) if system.exists(hadoop) else []
+    return sorted((f.getModificationTime(), f.getPath().toString()) for f in found if f.isFile())
+
+
+def read_history(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
+    """Games so far in the canonical columns; an empty table if nothing is there."""
+    if not _listed(spark, path):
+        return spark.createDataFrame([], ", ".join(f"{c} {k}" for c, k in GAME_COLUMNS.items()))
+    return normalise(read_games(spark, [path], kind))
+
+
+def read_features(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
+    """A feature table; of a CSV, columns that hold nothing but True and False become flags.  An empty one is an error."""
+    table = spark.read.parquet(path) if kind == "parquet" else spark.read.option("header", True).option("inferSchema", True).csv(path)
+    if not table.limit(1).count():
+        raise ValueError(f"no rows in {path}")
+    texts = [c for c, k in table.dtypes if k == "string"]
+    if texts:
+        flags = table.agg(*[F.every(F.col(f"`{c}`").isNull() | F.col(f"`{c}`").isin("True", "False")).alias(c) for c in texts]).first().asDict()
+        table = table.withColumns({c: F.col(f"`{c}`") == "True" for c in texts if flags[c]})
+    return table
+
+
+def read_upcoming(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """Games to come, one JSON object per file, without those that lack an id, a team or a date; of the oldest ``max_files`` files."""
+    paths = [path] if max_files is None else [p for _, p in _listed(spark, path)][:max_files]
+    raw = read_games(spark, paths, "json")
     keys = ["gameId", "gameDate", "hometeamId", "awayteamId"]
     missing = [k for k in keys if k not in map_columns(raw.columns).values()]
     if missing:
