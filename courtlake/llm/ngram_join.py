@@ -42,6 +42,8 @@ WORDS, PERCENT = 5, 75
 CLUSTER_SETS, BLOCK_SETS = 1024, 256
 #: Nodes under one of the next level (a power of two), and nodes of a cluster at which the tree has its top.
 FAN_BITS, TOP_NODES = 4, 64
+#: Blocks on a side of a tile (a power of two).
+TILE_BITS = 2
 _KEY_BITS = 52
 _WORDS64 = 64  # 4096-bit signatures
 
@@ -261,7 +263,7 @@ def _large_clusters(large: DataFrame, percent: int) -> DataFrame:
     All sets are compared with one of them, the pivot.  The others and those linked with it are range-sorted by size and
     least token and cut into blocks, the lowest nodes of a tree whose levels are distributed tables.  The dual traversal
     goes down from pairs of the highest nodes on bitmaps and size ranges alone; only the blocks of pairs left at the end
-    fetch their sets.
+    fetch their sets, tile by tile.
     """
     spark = large.sparkSession
     parts = c.shuffle_partitions(spark)
@@ -321,23 +323,31 @@ def _large_clusters(large: DataFrame, percent: int) -> DataFrame:
     pairs = None
     for level in reversed(levels):
         pairs = c.materialise(_node_pairs(level, pairs, percent))
-    blob = blocks.select("cluster", "near", "node", "blob")
-    one, two = ([F.col(x).alias(f"{x}_{s}") for x in ("near", "node", "blob")] for s in "ij")
-    fetched = pairs.join(blob.select("cluster", *one), ["cluster", "near_i", "node_i"]).join(blob.select("cluster", *two), ["cluster", "near_j", "node_j"])
+    # Pairs go in tiles of TILE x TILE blocks, so that a block's sets are copied once per tile, not once per pair.
+    tile = ["cluster", "near_i", "tile_i", "near_j", "tile_j"]
+    tiled = pairs.withColumns({f"tile_{x}": F.shiftright(f"node_{x}", TILE_BITS) for x in "ij"})
+    ends = [tiled.select(*tile, F.col(f"near_{x}").alias("near"), F.col(f"node_{x}").alias("node")) for x in "ij"]
+    fetched = ends[0].union(ends[1]).distinct().join(blocks.select("cluster", "near", "node", "blob"), ["cluster", "near", "node"])
+    none = F.lit(None)
+    met = fetched.select(*tile, "near", "node", "blob", none.cast("long").alias("i"), none.cast("long").alias("j")).union(
+        tiled.select(*tile, none.cast("boolean"), none.cast("long"), none.cast("binary"), "node_i", "node_j")
+    )
 
-    def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(b.num_rows):
-                row = {k: b.column(k)[r].as_py() for k in b.schema.names}
-                one = row["near_i"] == row["near_j"] and row["node_i"] == row["node_j"]
-                sides = [pa.ipc.open_stream(row[x]).read_all() for x in (["blob_i"] if one else ["blob_i", "blob_j"])]
-                table = pa.concat_tables(sides)
-                same = np.concatenate([np.full(s.num_rows, 0 if row[x] else -1) for s, x in zip(sides, ("near_i", "near_j"), strict=False)])
-                links = tree_links(table.column("key").to_numpy(), table.column("n").to_numpy(), _tokens(table.column("tokens")), percent, same)
-                yield from links.to_batches()
-
-    spread = fetched.repartition(parts * 2, "cluster", "near_i", "node_i", "near_j", "node_j")
-    found = spread.mapInArrow(traverse, "a long, b long")
+    def traverse(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        near = {s: rows[0][f"near_{s}"] for s in "ij"}
+        sets = {(r["near"], r["node"]): pa.ipc.open_stream(r["blob"]).read_all() for r in rows if r["blob"] is not None}
+        links = []
+        for r in rows:
+            if r["blob"] is None:
+                one = near["i"] == near["j"] and r["i"] == r["j"]
+                sides = [(near["i"], r["i"])] if one else [(near["i"], r["i"]), (near["j"], r["j"])]
+                both = pa.concat_tables([sets[s] for s in sides])
+                same = np.concatenate([np.full(sets[s].num_rows, 0 if s[0] else -1) for s in sides])
+                links.append(tree_links(both.column("key").to_numpy(), both.column("n").to_numpy(), _tokens(both.column("tokens")), percent, same))
+        return pa.concat_tables(links) if links else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+
+    found = met.groupBy(*tile).applyInArrow(traverse, "a long, b long")
     return found.union(blocks.filter("near").select(F.explode("keys").alias("a"), F.col("hub").alias("b")))
 
 
