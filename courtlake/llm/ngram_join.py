@@ -41,7 +41,7 @@ WORDS, PERCENT = 5, 75
 #: Sets in one traversal; a larger cluster is cut into blocks.
 CLUSTER_SETS, BLOCK_SETS = 1024, 256
 #: Nodes under one of the next level (a power of two), and nodes of a cluster at which the tree has its top.
-FAN_BITS, TOP_NODES = 4, 64
+FAN_BITS, TOP_NODES = 4, 256
 #: Blocks on a side of a tile (a power of two).
 TILE_BITS = 2
 _KEY_BITS = 52
