@@ -42,7 +42,7 @@ from courtlake.llm import common as c
 
 CAPACITY, END_ID = 2048, 0
 #: A sweep takes pieces of at least this part of the longest one left.
-FRACTION = 0.5
+FRACTION = 0.25
 #: Rows of a sweep per task; they are a few numbers each.
 SWEEP_ROWS = 1 << 16
 
