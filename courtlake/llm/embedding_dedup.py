@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courtlake.llm import common as c
-from courtlake.llm.components import connected_components
+from courtlake.llm.components import connected_components, merge
 from courtlake.llm.vectors import digest, matrix, usable
 
 THRESHOLD, TABLES, PROBES, SEED = 0.95, 8, 3, 20240229
@@ -104,22 +104,6 @@ def padded(lists: pa.ChunkedArray) -> np.ndarray:
     return out
 
 
-def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """``label`` (each row's smallest connected row) after the edges (a, b), by hooking and pointer jumping."""
-    while True:
-        split = label[a] != label[b]
-        a, b = a[split], b[split]
-        if not len(a):
-            return label
-        least = label.copy()
-        np.minimum.at(least, a, label[b])
-        np.minimum.at(least, b, label[a])
-        np.minimum.at(least, label, least)
-        while not np.array_equal(least, least[least]):
-            least = least[least]
-        label = least
-
-
 def functions_for(n: int, dim: int, probes: int) -> int:
     """So many hash functions per table that a bucket holds a quarter of an unrelated vector at any size."""
     return max(1, math.ceil(math.log(max(2, 4 * n * probes), 2 * (1 << max(1, (dim - 1).bit_length())))))
@@ -198,7 +182,7 @@ def near_vectors(
                 u, v = u[first], v[first]
                 np.add.at(links, u, copies[v])
                 np.add.at(links, v, copies[u])
-                label = _merge(label, u, v)
+                label = merge(label, u, v)
         has = np.flatnonzero(links)
         moved = np.flatnonzero(label != np.arange(len(keys)))
         node, root = keys[moved], keys[label[moved]]

@@ -47,6 +47,11 @@ FRACTION = 0.25
 SWEEP_ROWS = 1 << 16
 
 
+def _dealt(table: DataFrame, tasks: int, key: str) -> DataFrame:
+    """Rows of one ``key`` in one task; a single task needs no exchange."""
+    return table.coalesce(1) if tasks == 1 else table.repartition(tasks, key)
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -132,8 +137,9 @@ def _by_size(table: DataFrame, key: str, tasks: int) -> tuple[DataFrame, dict[in
     A size that many rows have spreads over the ranges, as ``key`` is sorted on too.
     """
     spark = table.sparkSession
-    dealt = table.repartitionByRange(tasks, F.col("size").desc(), key).sortWithinPartitions(F.col("size").desc(), key)
-    rows = c.materialise(dealt.select(key, "size", F.monotonically_increasing_id().alias("at")))
+    order = [F.col("size").desc(), F.col(key)]
+    dealt = table.coalesce(1) if tasks == 1 else table.repartitionByRange(tasks, *order)
+    rows = c.materialise(dealt.sortWithinPartitions(*order).select(key, "size", F.monotonically_increasing_id().alias("at")))
     runs = rows.groupBy(F.shiftright("at", 33).alias("part"), "size").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     held: dict[int, int] = {}
     shifts = []  # by (part, size) in one number, the cheapest key to broadcast
@@ -189,14 +195,14 @@ def _sweep(gaps: DataFrame, pieces: DataFrame, held: dict[int, int], placed: dic
     claiming = pieces.join(claims, F.col("size") == F.col("p_size")).filter("rank >= low and rank < high")
     claiming = claiming.select((F.col("base") - (F.col("rank") - F.col("low"))).alias("level"), "order", F.lit(None).cast("long").alias("sequence"), "tie", "size")
     along = Window.partitionBy("level").orderBy("order")
-    met = open_slots.unionByName(claiming).repartition(tasks, "level").withColumn("sequence", F.coalesce("sequence", F.lag("sequence").over(along)))
+    met = _dealt(open_slots.unionByName(claiming), tasks, "level").withColumn("sequence", F.coalesce("sequence", F.lag("sequence").over(along)))
     return c.materialise(met.filter("tie is not null").select("tie", "size", "sequence")), take
 
 
 def _assign(made: DataFrame, capacity: int) -> DataFrame | None:
     """(tie, size, sequence, sweep) of all pieces shorter than a sequence; None if there are none."""
     spark = made.sparkSession
-    short = made.filter(F.col("length") < capacity).select("tie", F.col("length").alias("size"))
+    short = c.materialise(made.filter(F.col("length") < capacity).select("tie", F.col("length").alias("size")))
     tasks = -(-short.count() // SWEEP_ROWS) or 1
     pieces, left = _by_size(short, "tie", tasks)
     if not left:
@@ -229,7 +235,7 @@ def _assign(made: DataFrame, capacity: int) -> DataFrame | None:
         left = {s: n for s, n in left.items() if n}
         assigned = assigned.unionByName(met.withColumn("sweep", F.lit(sweep)))
         shrunk = ranked.select("sequence", "size").unionByName(met.select("sequence", (-F.col("size")).alias("size")))
-        gaps = shrunk.repartition(tasks, "sequence").groupBy("sequence").agg(F.sum("size").cast("int").alias("size"))
+        gaps = _dealt(shrunk, tasks, "sequence").groupBy("sequence").agg(F.sum("size").cast("int").alias("size"))
     return assigned
 
 
