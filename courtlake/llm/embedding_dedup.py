@@ -34,6 +34,8 @@ THRESHOLD, TABLES, PROBES, SEED = 0.95, 8, 3, 20240229
 BLOCK = 1024
 #: Rows compared with a block at once, and found pairs looked at together.
 STRIP, PAIRS = 128, 1 << 13
+#: Vectors of a bucket up to which it is compared along with others.
+FEW = 24
 _NONE = np.iinfo(np.int64).max
 
 
@@ -104,6 +106,86 @@ def padded(lists: pa.ChunkedArray) -> np.ndarray:
     return out
 
 
+def earlier(codes: np.ndarray, bucket: int) -> np.ndarray:
+    """As bits of each row, the buckets below ``bucket`` that two rows at least are in."""
+    row, column = np.nonzero((codes >= 0) & (codes < bucket))
+    _, number, rows = np.unique(codes[row, column], return_inverse=True, return_counts=True)
+    shared = rows > 1
+    kept = shared[number]
+    row, number = row[kept], (np.cumsum(shared) - 1)[number[kept]]
+    bits = np.zeros((len(codes), -(-int(shared.sum()) // 64)), np.uint64)
+    np.bitwise_or.at(bits, (row, number >> 6), np.uint64(1) << (number & 63).astype(np.uint64))
+    return bits
+
+
+def _starts(table: pa.Table) -> np.ndarray:
+    """Where each pair of blocks begins in the sorted rows."""
+    of = np.stack([table.column(x).to_numpy().astype(np.int64) for x in ("dim", "bucket", "i", "j")])
+    return np.flatnonzero(np.concatenate([[True], (of[:, 1:] != of[:, :-1]).any(0)]))
+
+
+def _checked(table: pa.Table, threshold: float):
+    """Link counts (``root`` null) and forest edges (``links`` 0) within each pair of blocks of the sorted rows."""
+    dims = table.column("dim").to_numpy()
+    edges = [*np.flatnonzero(np.concatenate([[True], dims[1:] != dims[:-1]])).tolist(), len(dims)]
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        yield from _of_one_dim(table.slice(low, high - low).combine_chunks(), threshold)
+
+
+def _of_one_dim(table: pa.Table, threshold: float):
+    starts = np.append(_starts(table), table.num_rows)
+    keys, block, copies, bucket, i, j = (table.column(x).to_numpy() for x in ("key", "block", "copies", "bucket", "i", "j"))
+    x, codes = unit(matrix(table.column("vec"))), padded(table.column("buckets"))
+    links, label = np.zeros(len(keys), np.int64), np.arange(len(keys))
+
+    def count(u: np.ndarray, v: np.ndarray) -> None:
+        np.add.at(links, u, copies[v])
+        np.add.at(links, v, copies[u])
+
+    # Most buckets hold a few vectors: all such of the rows at once, each row with the k-th after it.
+    sizes = np.diff(starts)
+    few = np.repeat(sizes <= FEW, sizes)
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    for k in range(1, int(sizes[sizes <= FEW].max(initial=0))):
+        at = np.flatnonzero(few[:-k] & (group[:-k] == group[k:]) & ((i == j)[:-k] | (block[:-k] != block[k:])))
+        at = at[np.einsum("ij,ij->i", x[at], x[at + k]) >= threshold]
+        for t in range(0, len(at), PAIRS):
+            u, v = at[t : t + PAIRS], at[t : t + PAIRS] + k
+            # A pair counts in the first bucket that it shares.
+            both = (codes[u][:, :, None] == codes[v][:, None, :]).any(2)
+            first = np.where(both, codes[u], _NONE).min(1) == bucket[u]
+            count(u[first], v[first])
+            label = merge(label, u[first], v[first])
+    for g in np.flatnonzero(sizes > FEW):
+        low, high = int(starts[g]), int(starts[g + 1])
+        mine, bits = x[low:high], earlier(codes[low:high], int(bucket[low]))
+        own = np.arange(len(mine))
+        for s in range(0, len(mine), STRIP):  # a strip of rows at a time, so memory is bounded by STRIP * BLOCK
+            near = mine[s : s + STRIP] @ mine[: s + STRIP].T >= threshold
+            near &= np.tri(*near.shape, k=s - 1, dtype=bool)
+            if i[low] != j[low]:
+                near &= block[low + s : low + s + len(near), None] != block[None, low : low + near.shape[1]]
+            a, b = np.nonzero(near)
+            a += s
+            for t in range(0, len(a), PAIRS):
+                u, v = a[t : t + PAIRS], b[t : t + PAIRS]
+                first = ~(bits[u] & bits[v]).any(1)
+                count(low + u[first], low + v[first])
+                own = merge(own, u[first], v[first])
+        label[low:high] = low + own
+    has = np.flatnonzero(links)
+    moved = np.flatnonzero(label != np.arange(len(keys)))
+    node, root = keys[moved], keys[label[moved]]
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate([keys[has], node]), pa.int64()),
+            pa.array(np.concatenate([links[has], np.zeros(len(node), np.int64)]), pa.int64()),
+            pa.array([None] * len(has) + root.tolist(), pa.int64()),
+        ],
+        names=["key", "links", "root"],
+    )
+
+
 def functions_for(n: int, dim: int, probes: int) -> int:
     """So many hash functions per table that a bucket holds a quarter of an unrelated vector at any size."""
     return max(1, math.ceil(math.log(max(2, 4 * n * probes), 2 * (1 << max(1, (dim - 1).bit_length())))))
@@ -160,42 +242,22 @@ def near_vectors(
     met = met.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("key", "dim", "vec", "copies", "buckets", F.col("at.bucket").alias("bucket"), "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
-    def verify(table: pa.Table) -> pa.Table:
-        keys, block = table.column("key").to_numpy(), table.column("block").to_numpy()
-        i, j, bucket = (table.column(x)[0].as_py() for x in ("i", "j", "bucket"))
-        x = unit(matrix(table.column("vec")))
-        codes = padded(table.column("buckets"))
-        copies = table.column("copies").to_numpy()
-        links, label = np.zeros(len(keys), np.int64), np.arange(len(keys))
-        for s in range(0, len(keys), STRIP):  # a strip of rows at a time, so memory is bounded by STRIP * BLOCK
-            near = x[s : s + STRIP] @ x[: s + STRIP].T >= threshold
-            near &= np.tri(*near.shape, k=s - 1, dtype=bool)
-            if i != j:
-                near &= block[s : s + STRIP, None] != block[None, : s + STRIP]
-            a, b = np.nonzero(near)
-            a += s
-            for t in range(0, len(a), PAIRS):
-                u, v = a[t : t + PAIRS], b[t : t + PAIRS]
-                # A pair counts in the first bucket that it shares.
-                both = (codes[u][:, :, None] == codes[v][:, None, :]).any(2)
-                first = np.where(both, codes[u], _NONE).min(1) == bucket
-                u, v = u[first], v[first]
-                np.add.at(links, u, copies[v])
-                np.add.at(links, v, copies[u])
-                label = merge(label, u, v)
-        has = np.flatnonzero(links)
-        moved = np.flatnonzero(label != np.arange(len(keys)))
-        node, root = keys[moved], keys[label[moved]]
-        return pa.table(
-            {
-                "key": np.concatenate([keys[has], node]),
-                "links": np.concatenate([links[has], np.zeros(len(node), np.int64)]).astype(np.int64),
-                "root": pa.array([None] * len(has) + root.tolist(), pa.int64()),
-            }
-        )
-
-    met = met.repartition(c.shuffle_partitions(spark), "dim", "bucket", "i", "j")
-    checked = c.materialise(met.groupBy("dim", "bucket", "i", "j").applyInArrow(verify, "key long, links long, root long"))
+    def verify(batches):
+        """Pairs of blocks come one after the other; the last one of a batch may go on in the next."""
+        held = None
+        for b in batches:
+            table = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b]).combine_chunks()
+            if table.num_rows:
+                last = int(_starts(table)[-1])
+                if last:
+                    yield from _checked(table.slice(0, last), threshold)
+                held = table.slice(last)
+        if held is not None:
+            yield from _checked(held, threshold)
+
+    along = ["dim", "bucket", "i", "j"]
+    met = met.repartition(c.shuffle_partitions(spark), *along).sortWithinPartitions(*along)
+    checked = c.materialise(met.mapInArrow(verify, "key long, links long, root long"))
     counts = checked.filter("root is null").groupBy("key").agg(F.sum("links").alias("links"))
     parts = connected_components(checked.filter("root is not null").select(F.col("key").alias("a"), F.col("root").alias("b")))
     named = classes.select("key", *same, "least", "copies").join(parts.withColumnRenamed("node", "key"), "key", "left")
